@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .secrets import op9_secret_scan
 from .simhash import op1_simhash
+from .toxicity import op10_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op9_secret_scan": op9_secret_scan,
+        "op10_toxicity": op10_toxicity,
     }
 
 
