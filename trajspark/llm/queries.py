@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from . import topk
 from .secrets import op9_secret_scan
 from .simhash import op1_simhash
+from .topk import op8_exact_top_k
 from .toxicity import op10_toxicity
+from .warc import op7_warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op7_warc": op7_warc,
+        "op8_exact_top_k": op8_exact_top_k,
         "op9_secret_scan": op9_secret_scan,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_top_k": topk.SQL}
