@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import topk
+from .minhash import op3_minhash
 from .secrets import op9_secret_scan
 from .simhash import op1_simhash
 from .topk import op8_exact_top_k
@@ -13,6 +14,7 @@ from .warc import op7_warc
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op3_minhash": op3_minhash,
         "op7_warc": op7_warc,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_secret_scan": op9_secret_scan,
