@@ -70,11 +70,11 @@ def band_keys(signature: np.ndarray, per_band: int) -> np.ndarray:
     return key
 
 
-SIGNED = "id long, n long, digest string, bands array<long>"
+SIGNED = "id {}, n long, digest string, bands array<long>"
 
 
 def signed(items: DataFrame, k: int, permutations: int, per_band: int) -> DataFrame:
-    """(id, set size, digest of the set, band keys) of items (id, text); empty sets have no digest."""
+    """(id, set size, digest of the set, band keys) of items (id, text), ids of any type; empty sets have no digest."""
 
     def per_batch(batch):
         sets = [shingles(t, k) for t in batch.column("text").to_pylist()]
@@ -83,7 +83,7 @@ def signed(items: DataFrame, k: int, permutations: int, per_band: int) -> DataFr
         return [batch.column("id"), [len(s) for s in sets], [xxhash.xxh128_hexdigest(s.tobytes()) if len(s) else None for s in sets], [next(keys) if len(s) else None for s in sets]]
 
     small_batches(items.sparkSession)
-    return map_arrow(items, per_batch, SIGNED)
+    return map_arrow(items, per_batch, SIGNED.format(items.schema["id"].dataType.simpleString()))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import topk
 from .minhash import op3_minhash
+from .paragraphs import op6_paragraphs
 from .secrets import op9_secret_scan
 from .simhash import op1_simhash
 from .topk import op8_exact_top_k
@@ -15,6 +16,7 @@ def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op3_minhash": op3_minhash,
+        "op6_paragraphs": op6_paragraphs,
         "op7_warc": op7_warc,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_secret_scan": op9_secret_scan,
