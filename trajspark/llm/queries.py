@@ -7,6 +7,7 @@ from .minhash import op3_minhash
 from .paragraphs import op6_paragraphs
 from .secrets import op9_secret_scan
 from .simhash import op1_simhash
+from .suffixes import op5_suffix_array
 from .topk import op8_exact_top_k
 from .toxicity import op10_toxicity
 from .warc import op7_warc
@@ -16,6 +17,7 @@ def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op3_minhash": op3_minhash,
+        "op5_suffix_array": op5_suffix_array,
         "op6_paragraphs": op6_paragraphs,
         "op7_warc": op7_warc,
         "op8_exact_top_k": op8_exact_top_k,
