@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import topk
 from .minhash import op3_minhash
+from .packing import op2_packing
 from .paragraphs import op6_paragraphs
 from .secrets import op9_secret_scan
 from .simhash import op1_simhash
@@ -16,6 +17,7 @@ from .warc import op7_warc
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op2_packing": op2_packing,
         "op3_minhash": op3_minhash,
         "op5_suffix_array": op5_suffix_array,
         "op6_paragraphs": op6_paragraphs,
