@@ -10,13 +10,18 @@ without words, or null, has an empty set and no links.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import columns_of, map_arrow, mix64, small_batches, table, written
+from .common import columns_of, map_arrow, mix64, record, shuffle_partitions, small_batches, table, written
 from .graph import components, join_hot
 
 #: Percent of the union that two sets must share.
@@ -86,6 +91,93 @@ def signed(items: DataFrame, k: int, permutations: int, per_band: int) -> DataFr
     return map_arrow(items, per_batch, SIGNED.format(items.schema["id"].dataType.simpleString()))
 
 
+def linked(x: list[np.ndarray], y: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which sets of x share PERCENT or more of their union with which of y (or x), exactly.
+
+    Shingles that only one of the sets has add nothing to an intersection; the others' incidence
+    is multiplied in blocks of columns, so all pairs cost matrix products.
+    """
+    both = x if y is None else x + y
+    flat, sizes = np.concatenate(both), np.array([len(s) for s in both])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(both)), sizes)
+    shared = count[column] > 1
+    column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    n = len(x)
+    common = np.zeros((n, n if y is None else len(y)), np.float32)
+    width = 2048
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, (at, at + width))
+        cells = np.zeros((len(both), width), np.float32)
+        cells[owner[i:j], column[i:j] - at] = 1
+        common += cells[:n] @ (cells if y is None else cells[n:]).T
+    union = sizes[:n, None] + (sizes if y is None else sizes[n:])[None, :] - common
+    return 100 * common.astype(np.float64) >= PERCENT * union.astype(np.float64)
+
+
+def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs that join two components: at most n - 1."""
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    kept = []
+    for a, b in pairs.tolist():
+        i, j = find(a), find(b)
+        if i != j:
+            root[j] = i
+            kept.append((a, b))
+    return kept
+
+
+def links_in(groups: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what is connected in each group of rows (g, side, node, cells).
+
+    Rows of side 0 meet one another; rows of side 1, if any, meet those of side 0 only. Groups are
+    bounded: at most GROUP_NODES sets and about GROUP_CELLS shingles a side.
+    """
+    schema = to_arrow_schema(StructType.fromDDL("a long, b long"))
+    dealt = groups.repartition(shuffle_partitions(groups.sparkSession), "g").sortWithinPartitions("g", "side", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def out():
+            (ids, x), (others, y) = (tuple(zip(*s)) or ((), ()) for s in sides)
+            if len(ids) + len(others) < 2 or not ids:
+                return None
+            found = np.argwhere(linked(list(x), list(y) if others else None))
+            if others:
+                found = found + np.array([0, len(ids)])
+            every = ids + others
+            kept = forest(len(every), found)
+            return record(schema, [[every[a] for a, _ in kept], [every[b] for _, b in kept]]) if kept else None
+
+        for batch in batches:
+            for g, side, node, cells in zip(*(batch.column(c).to_pylist() for c in ("g", "side", "node", "cells"))):
+                if g != now:
+                    if got := out():
+                        yield got
+                    now, sides = g, ([], [])
+                sides[side].append((node, np.frombuffer(cells, np.uint64)))
+        if got := out():
+            yield got
+
+    return dealt.select("g", "side", "node", "cells").mapInArrow(run, "a long, b long")
+
+
+#: What is compared in one task at once, a side.
+GROUP_NODES = 1500
+GROUP_CELLS = 1_500_000
+_NEAR_SIZE = f"100 * least(n, n2) >= {PERCENT} * greatest(n, n2)"
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets (node, cells) share PERCENT or more of their union."""
 
@@ -104,70 +196,76 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), per_batch, "a long, b long")
 
 
-_NEAR_SIZE = f"100 * least(n, n2) >= {PERCENT} * greatest(n, n2)"
-#: Rounds of one centre per bucket, before what is left is compared pair by pair.
-STARS = 6
+def _large_links(members: DataFrame, large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the nodes (node) of large clusters, bucket by bucket.
+
+    Every bucket's members are compared with one centre first. Then the members of buckets that
+    still hold several components are dealt to bounded blocks in order of component, and every two
+    blocks that don't hold one and the same component meet. No pair of components is left out.
+    """
+    in_bucket = W.partitionBy("key")
+    own = written(members.join(large, "node", "left_semi"), "large")
+    centre = F.min(F.struct("node", "n")).over(in_bucket)
+    starred = own.withColumn("centre", centre).select("node", "n", F.col("centre.node").alias("c"), F.col("centre.n").alias("n2"))
+    links = written(confirmed(starred.where("node <> c").where(_NEAR_SIZE).select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), sets), "links")
+    labels = components(links).withColumnRenamed("id", "node")
+    now = own.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = now.withColumn("least", F.min("component").over(in_bucket)).withColumn("most", F.max("component").over(in_bucket)).where("least < most")
+    ordered = W.partitionBy("key").orderBy("component", "node")
+    cells = F.sum("n").over(ordered.rowsBetween(W.unboundedPreceding, -1))
+    block = F.floor(F.greatest((F.row_number().over(ordered) - 1) / GROUP_NODES, F.coalesce(cells, F.lit(0)) / GROUP_CELLS)).cast("int")
+    blocked = written(mixed.withColumn("block", block).select("key", "node", "block", "component"), "blocked")
+    extent = blocked.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    e, f = extent.alias("e"), extent.alias("f")
+    meet = e.join(f, (F.col("e.key") == F.col("f.key")) & (F.col("e.block") <= F.col("f.block")) & ~((F.col("e.low") == F.col("f.high")) & (F.col("e.high") == F.col("f.low"))))
+    meet = meet.select(F.col("e.key").alias("key"), F.col("e.block").alias("i"), F.col("f.block").alias("j"))
+    meet = meet.withColumn("g", F.struct("key", "i", "j"))
+    sides = meet.select("key", "g", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")), F.struct(F.lit(1).alias("side"), F.col("j").alias("block"))))).alias("s")).select("key", "g", "s.side", "s.block")
+    rows = blocked.join(sides, ["key", "block"]).select(F.concat_ws(":", "g.key", "g.i", "g.j").alias("g"), "side", "node").join(sets, "node")
+    return links.unionByName(written(links_in(rows), "links"))
 
 
 def grouped(items: DataFrame, k: int, permutations: int, per_band: int) -> tuple[DataFrame, DataFrame]:
     """(rows of SIGNED, (digest, component) of every set) for items (id, text) with ids that aren't null.
 
-    A component is the smallest id of any set that links reach. Buckets are compared with one
-    centre at a time, so a large group of near copies costs rows in proportion to its size;
-    components of the links found so far join, and only pairs of a bucket whose components still
-    differ are compared further. When these are few, or after STARS rounds, all of them are
-    compared: no link between two components is lost.
+    A component is the smallest id of any set that links reach. Sets that share a band, directly or
+    over others, are a cluster. Clusters that fit one task are compared there, all pairs at once;
+    larger ones are compared bucket by bucket. Either way only links that connect are kept.
     """
     rows = written(signed(items, k, permutations, per_band), "signed")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     in_bucket = W.partitionBy("key")
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
-    members = written(banded.withColumn("size", F.count("*").over(in_bucket)).where("size > 1").drop("size"), "members")
-    wanted = classes.select("node", "id", "digest").join(members.select("node").distinct(), "node", "left_semi")
+    members = written(banded.withColumn("least", F.min("node").over(in_bucket)).withColumn("most", F.max("node").over(in_bucket)).where("least < most").drop("most"), "members")
+    clusters = components(members.where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()).select(F.col("id").alias("node"), F.col("component").alias("cluster"))
+    wanted = written(clusters.join(classes.select("node", "id", "digest", "n"), "node"), "wanted")
+    sizes = wanted.groupBy("cluster").agg(F.count("*").alias("nodes"), F.sum("n").alias("cells"))
+    large = sizes.where((F.col("nodes") > GROUP_NODES) | (F.col("cells") > GROUP_CELLS)).select("cluster")
+    large = written(wanted.join(large, "cluster", "left_semi").select("node"), "large")
 
     def of_wanted(batch):
-        node, cells = [], []
-        for text, own, digest in zip(*(batch.column(c).to_pylist() for c in ("text", "node", "digest"))):
+        node, cluster, cells = [], [], []
+        for text, own, c, digest in zip(*(batch.column(x).to_pylist() for x in ("text", "node", "cluster", "digest"))):
             held = shingles(text, k).tobytes()
             if xxhash.xxh128_hexdigest(held) == digest:
                 node.append(own)
+                cluster.append(c)
                 cells.append(held)
-        return [node, cells]
-
-    sets = written(map_arrow(items.join(wanted, "id"), of_wanted, "node long, cells binary").dropDuplicates(["node"]), "sets")
-    labels = None  # (id, component) of the linked nodes
-    links = None
-    for star in range(STARS + 1):
-        now = members.withColumn("component", F.col("node"))
-        if labels is not None:
-            now = members.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-            now = now.withColumn("least", F.min("component").over(in_bucket)).withColumn("most", F.max("component").over(in_bucket)).where("least < most").drop("least", "most")
-            now = written(now, "open")
-            sizes = now.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
-            left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs"), F.sum("m").alias("members")).first()
-            if not left.members:
-                break
-            if left.pairs <= 4 * left.members or star == STARS:
-                other = now.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("component").alias("theirs"))
-                pairs = now.withColumnRenamed("node", "a").join(other, "key").where("component < theirs").where(_NEAR_SIZE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                links = links.unionByName(written(confirmed(pairs, sets), "links"))
-                labels = components(links)
-                break
-        order = F.struct(F.xxhash64("node", F.lit(star)), F.col("node"), F.col("n"), F.col("component"))
-        starred = now.withColumn("centre", F.min(order).over(in_bucket)).select("node", "n", "component", F.col("centre.node").alias("c"), F.col("centre.n").alias("n2"), F.col("centre.component").alias("theirs"))
-        pairs = starred.where("component <> theirs").where(_NEAR_SIZE).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-        found = written(confirmed(pairs, sets), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        return [node, cluster, cells]
+
+    sets = written(map_arrow(items.join(wanted, "id"), of_wanted, "node long, cluster long, cells binary").dropDuplicates(["node"]), "sets")
+    small = sets if large.isEmpty() else sets.join(large, "node", "left_anti")
+    links = written(links_in(small.select(F.col("cluster").cast("string").alias("g"), F.lit(0).alias("side"), "node", "cells")), "links")
+    if not large.isEmpty():
+        links = links.unionByName(_large_links(members, large, sets.select("node", "cells")))
+    labels = components(links)
     owners = classes.select("node", "digest", "id")
-    if labels is None:
-        return rows, written(owners.select("digest", F.col("id").alias("component")), "component")
-    linked = labels.select(F.col("id").alias("node"), F.col("component").alias("root")).join(owners, "node")
-    least = linked.groupBy("root").agg(F.min("id").alias("component"))
-    linked = linked.join(least, "root").select("digest", "component")
+    linked_ = labels.select(F.col("id").alias("node"), F.col("component").alias("root")).join(owners, "node")
+    least = linked_.groupBy("root").agg(F.min("id").alias("component"))
+    linked_ = linked_.join(least, "root").select("digest", "component")
     alone = owners.join(labels.select(F.col("id").alias("node")), "node", "left_anti").select("digest", F.col("id").alias("component"))
-    return rows, written(linked.unionByName(alone), "component")
+    return rows, written(linked_.unionByName(alone), "component")
 
 
 def near_groups(docs: DataFrame, k: int = 5, permutations: int = 64, per_band: int = 2) -> DataFrame:
