@@ -35,7 +35,9 @@ from .common import columns_of, mix64, record, shuffle_partitions, small_batches
 
 LENGTH = 100
 GRAM = 32
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Starts that are looked at together, and context bytes that are decided together.
+CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -142,36 +144,45 @@ def equal_classes(prefixes: Prefixes, starts: np.ndarray, bucket: np.ndarray) ->
 
 
 def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash, place of the anchor, first start, last start) of each run of strings with one anchor."""
+    """(hash, place of the anchor, first start, last start, hash of the context) of each run of strings with one anchor.
+
+    Works through CHUNK starts at a time, so a very long text needs no more memory; a run that a
+    chunk cuts is two runs, which changes no string.
+    """
+    ends = np.cumsum(sizes)
+    long = sizes >= LENGTH
+    begin, stop = (ends - sizes)[long], (ends - LENGTH + 1)[long]
+    found = [tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.uint64))]
+    for at in range(0, len(data) - LENGTH + 1, CHUNK):
+        edge = np.zeros(CHUNK + 1, np.int32)
+        here = (stop > at) & (begin < at + CHUNK)
+        np.add.at(edge, np.maximum(begin[here] - at, 0), 1)
+        np.add.at(edge, np.minimum(stop[here] - at, CHUNK), -1)
+        starts = np.flatnonzero(np.cumsum(edge[:CHUNK]) > 0)
+        if len(starts):
+            hashes, place, first, last, look = _anchors(data[at : at + CHUNK + LENGTH - 1], starts)
+            found.append((hashes, place + at, first + at, last + at, look))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     n, width = len(data), LENGTH - GRAM + 1
-    none = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
-    if n < LENGTH:
-        return none
     prefixes = Prefixes(data)
-    grams = np.arange(n - GRAM + 1)
-    hashes = prefixes.of(grams, grams + GRAM)
-    bits = np.uint64(max(21, int(n).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    least = (hashes & ~low) | grams.astype(np.uint64)  # ties to the leftmost: decided inside the string
+    hashes = mix64((prefixes.sums[GRAM:] - prefixes.sums[:-GRAM]) * prefixes.inverse[: n - GRAM + 1])
+    low = np.uint64((1 << int(n).bit_length()) - 1)
+    least = (hashes & ~low) | np.arange(n - GRAM + 1, dtype=np.uint64)  # ties to the leftmost: decided inside the string
     reach = 1
     while 2 * reach <= width:
         least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
     if width > reach:
         least = np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
-    ends = np.cumsum(sizes)
-    edge = np.zeros(n + 1, np.int64)
-    has = sizes >= LENGTH
-    np.add.at(edge, (ends - sizes)[has], 1)
-    np.add.at(edge, (ends - LENGTH + 1)[has], -1)
-    starts = np.flatnonzero(np.cumsum(edge[: len(least)]) > 0)
-    if not len(starts):
-        return none
     place = (least[starts] & low).astype(np.int64)
     new = np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)])
     first = np.flatnonzero(new)
-    last = np.concatenate([first[1:] - 1, [len(starts) - 1]])
-    return hashes[place[first]], place[first], starts[first], starts[last]
+    last = starts[np.concatenate([first[1:] - 1, [len(starts) - 1]])]
+    place, first = place[first], starts[first]
+    return hashes[place], place, first, last, prefixes.of(first, last + LENGTH)
 
 
 BLOCKS = "rest binary, sizes binary, data binary"
@@ -250,6 +261,23 @@ def _with_notes(packed: DataFrame, notes: DataFrame, per_block: Callable, schema
 NOTE = "block long, note binary"
 SENT = "part int, block long, head binary, body binary"
 _HEAD = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("anchor", "<i4"), ("size", "<i4")])
+#: Parts below this hold what a block decides alone: part LOCAL - p goes through task p unchanged.
+LOCAL = -1
+
+
+def _squeezed(head: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(head[c].tobytes() for c in _HEAD.names), 3)
+
+
+def _restored(held: bytes) -> np.ndarray:
+    raw = zstandard.decompress(held)
+    out = np.zeros(len(raw) // _HEAD.itemsize, _HEAD)
+    at = 0
+    for c in _HEAD.names:
+        n = len(out) * _HEAD[c].itemsize
+        out[c] = np.frombuffer(raw[at : at + n], _HEAD[c])
+        at += n
+    return out
 
 
 def _twice(packed: DataFrame, parts: int) -> DataFrame:
@@ -298,12 +326,12 @@ def _intervals(starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 
 def _contexts(packed: DataFrame, notes: DataFrame, parts: int) -> DataFrame:
-    """Contexts of anchors that occur twice, for their part; part -1 holds intervals that the block alone decides."""
+    """Contexts of anchors that occur twice, for their part; a negative part holds intervals that the block alone decides."""
     schema = to_arrow_schema(StructType.fromDDL(SENT))
 
     def per_block(row: dict, held: list[bytes]):
         rest, sizes, data = _opened(row)
-        hashes, place, first, last = anchors(data, sizes)
+        hashes, place, first, last, look = anchors(data, sizes)
         if not len(hashes):
             return
         _, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
@@ -313,10 +341,8 @@ def _contexts(packed: DataFrame, notes: DataFrame, parts: int) -> DataFrame:
         use = np.flatnonzero(twice)
         if not len(use):
             return
-        hashes, place, first, end = hashes[use], place[use], first[use], last[use] + LENGTH
+        hashes, place, first, end, look = hashes[use], place[use], first[use], last[use] + LENGTH, look[use]
         ids = _order(rest)[np.searchsorted(np.cumsum(sizes), first, side="right")]
-        prefixes = Prefixes(data)
-        look = prefixes.of(first, end)
         order = np.lexsort((first, ids, place - first, end - first, look, hashes))
         h, k, a, n = hashes[order], look[order], (place - first)[order], (end - first)[order]
         same = np.zeros(len(order), bool)
@@ -327,7 +353,7 @@ def _contexts(packed: DataFrame, notes: DataFrame, parts: int) -> DataFrame:
             same[i] = raw[first[a] : end[a]] == raw[first[b] : end[b]]
         gone = order[same]
         if len(gone):
-            yield record(schema, [[-1], [row["block"]], [b""], [_intervals(first[gone], end[gone])]])
+            yield record(schema, [[LOCAL - row["block"] % parts], [row["block"]], [b""], [_intervals(first[gone], end[gone])]])
         keep = order[~same]
         head = np.zeros(len(keep), _HEAD)
         head["hash"], head["doc"], head["start"], head["anchor"], head["size"] = hashes[keep], ids[keep], first[keep], (place - first)[keep], (end - first)[keep]
@@ -336,7 +362,7 @@ def _contexts(packed: DataFrame, notes: DataFrame, parts: int) -> DataFrame:
         for group in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
             own = keep[group]
             body = b"".join([raw[a:b] for a, b in zip(first[own].tolist(), end[own].tolist())])
-            yield record(schema, [[part[group[0]]], [row["block"]], [head[group].tobytes()], [zstandard.compress(body, 3)]])
+            yield record(schema, [[part[group[0]]], [row["block"]], [_squeezed(head[group])], [zstandard.compress(body, 3)]])
 
     return _with_notes(packed, notes, per_block, SENT)
 
@@ -378,21 +404,10 @@ def decided(head: np.ndarray, block: np.ndarray, data: np.ndarray) -> tuple[np.n
 
 
 def _repeats(contexts: DataFrame, parts: int) -> DataFrame:
-    """(block, intervals) from the contexts of each part."""
+    """(block, intervals) from the contexts of each part, about CHUNK bytes of them at a time, cut between anchors."""
     schema = to_arrow_schema(StructType.fromDDL(NOTE))
 
-    def run(batches):
-        heads, owners, bodies = [], [], []
-        for row in _rows(batches):
-            head = np.frombuffer(row["head"], _HEAD)
-            heads.append(head)
-            owners.append(np.full(len(head), row["block"], np.int64))
-            bodies.append(zstandard.decompress(row["body"]))
-        if not heads:
-            return
-        head, block = np.concatenate(heads), np.concatenate(owners)
-        which, a, b = decided(head, block, np.frombuffer(b"".join(bodies), np.uint8))
-        a, b, own = head["start"][which] + a, head["start"][which] + b, block[which]
+    def told(own: np.ndarray, a: np.ndarray, b: np.ndarray):
         order = np.lexsort((a, own))
         for group in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
             if len(group):
@@ -400,7 +415,33 @@ def _repeats(contexts: DataFrame, parts: int) -> DataFrame:
                 new = np.concatenate([[True], x[1:] > y[:-1]])
                 yield record(schema, [[own[group[0]]], [_intervals(x[new], y[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(x) - 1]])])]])
 
-    return contexts.where("part >= 0").repartition(parts, "part").mapInArrow(run, NOTE)
+    def run(batches):
+        heads, owners, bodies = [], [], []
+        for row in _rows(batches):
+            if row["part"] < 0:
+                yield record(schema, [[row["block"]], [row["body"]]])
+                continue
+            heads.append(_restored(row["head"]))
+            owners.append(np.full(len(heads[-1]), row["block"], np.int64))
+            bodies.append(zstandard.decompress(row["body"]))
+        if not heads:
+            return
+        head, block, data = np.concatenate(heads), np.concatenate(owners), np.frombuffer(b"".join(bodies), np.uint8)
+        del heads, owners, bodies
+        offset = np.cumsum(head["size"]) - head["size"]
+        order = np.argsort(head["hash"], kind="stable")
+        hashes = head["hash"][order]
+        filled = np.cumsum(head["size"][order]) // CHUNK
+        cut = np.flatnonzero((filled[1:] != filled[:-1]))
+        cut = np.unique(np.searchsorted(hashes, hashes[cut], side="right")) if len(cut) else cut
+        for part in np.split(order, cut):
+            if len(part):
+                runs = head["size"][part]
+                at = np.repeat(offset[part] - np.cumsum(runs) + runs, runs) + np.arange(int(runs.sum()))
+                which, a, b = decided(head[part], block[part], data[at])
+                yield from told(block[part][which], head["start"][part][which] + a, head["start"][part][which] + b)
+
+    return contexts.withColumn("to", F.when(F.col("part") < 0, LOCAL - F.col("part")).otherwise(F.col("part"))).repartition(parts, "to").drop("to").mapInArrow(run, NOTE)
 
 
 def repeated(docs: DataFrame, rendered: Callable, schema: str) -> DataFrame:
@@ -408,12 +449,11 @@ def repeated(docs: DataFrame, rendered: Callable, schema: str) -> DataFrame:
     parts = shuffle_partitions(docs.sparkSession)
     packed = blocks(docs)
     small_batches(docs.sparkSession, 8)  # rows are blocks now
-    contexts = written(_contexts(packed, _twice(packed, parts), parts), "contexts", "none")
-    notes = _repeats(contexts, parts).unionByName(contexts.where("part < 0").select("block", F.col("body").alias("note")))
+    notes = _repeats(_contexts(packed, _twice(packed, parts), parts), parts)
 
     def per_block(row: dict, held: list[bytes]):
         rest, sizes, data = _opened(row)
-        edge = np.zeros(len(data) + 1, np.int64)
+        edge = np.zeros(len(data) + 1, np.int32)
         for note in held:
             pairs = np.frombuffer(note, np.int64).reshape(-1, 2)
             np.add.at(edge, pairs[:, 0], 1)
