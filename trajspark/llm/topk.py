@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import columns_of, record, small_batches, table
+from .common import columns_of, record, shuffle_partitions, small_batches, table
 
 SCALE = 256.0
 LEVELS = (1, 4, 16)
-BLOCK = 4096
+BLOCK = 2048
 _LONG = (-(2**63), 2**63 - 1)
 PACKED = "dim int, ids binary, cells binary"
 
@@ -115,12 +115,16 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best candidates.
 
     Queries and candidates meet as blocks; a pair of blocks gives at most k rows a query, so
-    no pair of rows is ever made. Repeated query rows give repeated results.
+    no pair of rows is ever made. Blocks of candidates are dealt over all tasks and every task
+    gets the blocks of queries. Repeated query rows give repeated results.
     """
     small_batches(queries.sparkSession, 2000)
     schema = to_arrow_schema(StructType.fromDDL(RESULT))
-    q = packed(whole(queries), BLOCK // 4).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.monotonically_increasing_id().alias("q_block"))
-    pairs = packed(whole(candidates)).crossJoin(q).where("dim = q_dim")
+    q = packed(whole(queries), BLOCK // 2).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.monotonically_increasing_id().alias("q_block"))
+    tasks = shuffle_partitions(queries.sparkSession)
+    q = q.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    x = packed(whole(candidates)).withColumn("task", F.pmod(F.xxhash64("ids"), F.lit(tasks)).cast("int"))
+    pairs = x.join(q, (x.task == q.task) & (F.col("dim") == F.col("q_dim"))).drop("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
