@@ -10,6 +10,7 @@ no part; a null text has no paragraphs; rows of one doc_id are judged by their t
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +62,6 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the removed paragraphs (and one line break after each) cut out of `text`; no row goes."""
-    import pandas as pd
-
     cuts = repeated_paragraphs(docs).where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.array("start", "end"))).alias("_cuts"))  # at most the lines of one document
 
     @F.pandas_udf("string")

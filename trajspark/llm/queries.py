@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import topk
 from .minhash import op3_minhash
 from .packing import op2_packing
@@ -16,6 +18,7 @@ from .warc import op7_warc
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_simhash": op1_simhash,
         "op2_packing": op2_packing,
         "op3_minhash": op3_minhash,

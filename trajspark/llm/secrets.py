@@ -14,6 +14,7 @@ import math
 import re
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import columns_of, map_arrow, small_batches, table, texts
@@ -145,7 +146,6 @@ def redacted(text: str) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with secrets in `text` replaced and `n_chars` recounted; no row goes."""
-    import pandas as pd
     from pyspark.sql import functions as F
 
     small_batches(docs.sparkSession)

@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -94,8 +95,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def simhash(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """docs with the hex fingerprint of a text column; other columns are carried along."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fingerprint(column: pd.Series) -> pd.Series:
         return pd.Series([x.tobytes().hex() for x in fingerprints([t or "" for t in column])], dtype=object)

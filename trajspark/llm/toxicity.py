@@ -17,6 +17,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,8 +207,6 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The documents whose score is under the threshold, as they are."""
-    import pandas as pd
-
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
