@@ -254,7 +254,7 @@ def grouped(items: DataFrame, k: int, permutations: int, per_band: int) -> tuple
                 cells.append(held)
         return [node, cluster, cells]
 
-    sets = written(map_arrow(items.join(wanted, "id"), of_wanted, "node long, cluster long, cells binary").dropDuplicates(["node"]), "sets")
+    sets = written(map_arrow(items.join(wanted.hint("merge"), "id"), of_wanted, "node long, cluster long, cells binary").dropDuplicates(["node"]), "sets")
     small = sets if large.isEmpty() else sets.join(large, "node", "left_anti")
     links = written(links_in(small.select(F.col("cluster").cast("string").alias("g"), F.lit(0).alias("side"), "node", "cells")), "links")
     if not large.isEmpty():
