@@ -1,6 +1,6 @@
 """Lexical retrieval packing: windows filled with the nearest unused neighbours of a seed document.
 
-Documents are dealt to shards of about SHARD_CHARS code points. Each shard has a BM25 inverted
+Documents are dealt to shards of about SHARD_DOCS documents. Each shard has a BM25 inverted
 index of its token ids; a window starts with a seed (an unused document, or the one that the last
 window cut), asks the index for the seed's unused neighbours and takes them, best first, until it
 is full. Documents without a common informative term follow in order of doc_id. What is left at a
@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,51 +25,84 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import columns_of, map_arrow, record, shuffle_partitions, small_batches, table
+from .common import columns_of, map_arrow, record, shuffle_partitions, small_batches, table, texts
 
 WINDOW = 4096
 END = 2
-SHARD_CHARS = 4_000_000
+SHARD_DOCS = 1200
 K1, B = 1.2, 0.75
-_CACHED = 400_000
+_CACHED = 1_000_000
+_MARKS = ".,;:!?"
 #: Separators that str.split knows and the tokenizer doesn't, and the start of its special tokens.
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 
 
-class Ids(dict):
-    """Token ids, as bytes of unsigned 16-bit numbers, of texts without white space.
+class Ids:
+    """Token ids, as bytes of unsigned 16-bit numbers, of texts.
 
     The tokenizer drops white space and never joins what it parts, so a text's ids are those of its
-    parts in a row. Letters are lower-cased by the tokenizer and kept apart from a mark after them.
+    parts in a row, and parts are remembered. It lower-cases, and keeps letters apart from a mark
+    after them: words that are new are reduced to their lower-case letters and encoded together in
+    one text, which is cut after each token that ends a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
     def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        low = part.lower()
-        if low.isalpha():
-            value = self.get(low) if low != part else None
-            if value is None:
-                value = self.encoded(part)
-        elif len(part) > 1 and part[-1] in ".,;:!?" and low[:-1].isalpha():
-            value = self[part[:-1]] + self[part[-1]]
-        else:
-            value = self.encoded(part)
-        if len(self) < _CACHED and len(part) < 64:
-            self[part] = value
-        return value
-
-    def of(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self.encoded(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def of(self, batch: list[str]) -> list[bytes]:
+        parts = [None if _ODD.search(t) else t.split() for t in batch]
+        whole = {i: self.encoded(batch[i]) for i, p in enumerate(parts) if p is None}
+        parts = [p or [] for p in parts]
+        found = [list(map(self.known.get, p)) for p in parts]
+        new: dict[str, bytes] = {}
+        for p, v in zip(parts, found):
+            if None in v:
+                new.update((x, b"") for x, y in zip(p, v) if y is None)
+        if new:
+            self._learn(new)
+            found = [[new[x] if y is None else y for x, y in zip(p, v)] if None in v else v for p, v in zip(parts, found)]
+        return [whole[i] if i in whole else b"".join(v) for i, v in enumerate(found)]
+
+    def _learn(self, new: dict[str, bytes]) -> None:
+        plan: list[tuple[str, str, str]] = []  # part, its letters, the mark after them
+        for part in new:
+            low = part.lower()
+            if "\u03a3" in part:  # lower-cased by its place in a word here, but not by the tokenizer
+                new[part] = self.encoded(part)
+            elif low.isalpha():
+                plan.append((part, low, ""))
+            elif part[-1] in _MARKS and low[:-1].isalpha():
+                plan.append((part, low[:-1], part[-1]))
+            else:
+                new[part] = self.encoded(part)
+        words = list({w for _, w, _ in plan if w not in self.known})
+        fresh: dict[str, bytes] = {}
+        if words:
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint16)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(words):
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(words, (2 * cuts).tolist()):
+                    fresh[w] = raw[at:end]
+                    at = end
+            else:
+                fresh = {w: self.encoded(w) for w in words}
+        for mark in {m for _, _, m in plan if m and m not in self.known}:
+            self.known[mark] = self.encoded(mark)
+        for part, word, mark in plan:
+            value = fresh.get(word)
+            new[part] = (self.known[word] if value is None else value) + (self.known[mark] if mark else b"")
+        if len(self.known) < _CACHED:
+            self.known.update(fresh)
+            self.known.update((k, v) for k, v in new.items() if len(k) < 64)
 
 
 _known: dict[str, Ids] = {}
@@ -172,13 +206,13 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     small_batches(spark)
     schema = to_arrow_schema(StructType.fromDDL(PIECES))
     rows = columns_of(docs, ["doc_id", "text"])
-    shards = max(1, math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / SHARD_CHARS))
+    shards = max(1, math.ceil(docs.count() / SHARD_DOCS))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
     def encode(batch):
         known = ids_of(tokenizer)
         end = np.array([END], np.uint16).tobytes()
-        return [batch.column("shard"), batch.column("doc_id"), [known.of(t or "") + end for t in batch.column("text").to_pylist()]]
+        return [batch.column("shard"), batch.column("doc_id"), [x + end for x in known.of(texts(batch.column("text")))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, held = None, [], []
