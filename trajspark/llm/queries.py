@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from . import topk
+from .lattice import op4_gumbel_pieces
 from .minhash import op3_minhash
 from .packing import op2_packing
 from .paragraphs import op6_paragraphs
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op1_simhash": op1_simhash,
         "op2_packing": op2_packing,
         "op3_minhash": op3_minhash,
+        "op4_gumbel_pieces": op4_gumbel_pieces,
         "op5_suffix_array": op5_suffix_array,
         "op6_paragraphs": op6_paragraphs,
         "op7_warc": op7_warc,
