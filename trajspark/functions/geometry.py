@@ -14,6 +14,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once: an expression that is repeated in another grows with every level."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def point(x, y) -> Column:
     return F.struct(_col(x).cast("double").alias("x"), _col(y).cast("double").alias("y"))
 
@@ -58,8 +63,7 @@ def nearest(p, line) -> Column:
     p = _col(p)
 
     def one(s: Column) -> Column:
-        q = _on_segment(p, s)
-        return F.struct(squared_distance(p, q).alias("d2"), s["i"].alias("i"), q.alias("q"))
+        return _let(_on_segment(p, s), lambda q: F.struct(squared_distance(p, q).alias("d2"), s["i"].alias("i"), q.alias("q")))
 
     return F.array_min(F.transform(segments(line), one))
 
@@ -126,19 +130,21 @@ def make_project_point(p, line, road_id, start_cross, end_cross, near: Column |
     near is nearest(p, line) where a column has it already: it is used several times.
     """
     line = _col(line)
-    n = nearest(p, line) if near is None else near
-    q = n["q"]
-    first, last = F.element_at(line, 1), F.element_at(line, -1)
-    before = F.aggregate(F.filter(segments(line), lambda s: s["i"] < n["i"]), F.lit(0.0), lambda acc, s: acc + distance(s["a"], s["b"]))
-    along = before + distance(F.element_at(line, n["i"]), q)
-    start, end = same_point(q, first), same_point(q, last)
-    return F.struct(
-        F.when(start | end, "cross").otherwise("road").alias("type"),
-        F.when(start, _col(start_cross)).when(end, _col(end_cross)).otherwise(_col(road_id)).cast("int").alias("index"),
-        F.when(start, 0.0).when(end, length(line)).otherwise(along).alias("param"),
-        q["x"].alias("x"),
-        q["y"].alias("y"),
-    )
+
+    def told(n: Column) -> Column:
+        q = n["q"]
+        start, end = same_point(q, F.element_at(line, 1)), same_point(q, F.element_at(line, -1))
+        before = F.aggregate(F.filter(segments(line), lambda s: s["i"] < n["i"]), F.lit(0.0), lambda acc, s: acc + distance(s["a"], s["b"]))
+        along = before + distance(F.element_at(line, n["i"]), q)
+        return F.struct(
+            F.when(start | end, "cross").otherwise("road").alias("type"),
+            F.when(start, _col(start_cross)).when(end, _col(end_cross)).otherwise(_col(road_id)).cast("int").alias("index"),
+            F.when(start, 0.0).when(end, length(line)).otherwise(along).alias("param"),
+            q["x"].alias("x"),
+            q["y"].alias("y"),
+        )
+
+    return _let(nearest(p, line) if near is None else near, told)
 
 
 def cross_project_point(cross_id, x, y) -> Column:
@@ -147,19 +153,23 @@ def cross_project_point(cross_id, x, y) -> Column:
 
 def make_part_of_road(start, end, line, road_id, start_cross, end_cross) -> Column:
     """struct<road_id,start,end,length>: the part of a road between the projections of two points."""
-    a = make_project_point(start, line, road_id, start_cross, end_cross)
-    b = make_project_point(end, line, road_id, start_cross, end_cross)
-    return F.struct(_col(road_id).alias("road_id"), a.alias("start"), b.alias("end"), F.abs(a["param"] - b["param"]).alias("length"))
+    ends = F.struct(make_project_point(start, line, road_id, start_cross, end_cross).alias("a"), make_project_point(end, line, road_id, start_cross, end_cross).alias("b"))
+    return _let(ends, lambda e: F.struct(_col(road_id).alias("road_id"), e["a"].alias("start"), e["b"].alias("end"), F.abs(e["a"]["param"] - e["b"]["param"]).alias("length")))
 
 
 def part_geometry(start, end, line) -> Column:
     """The sub-line between two places of a road, reversed if the end comes first."""
-    start, end, line = _col(start), _col(end), _col(line)
-    lo, hi = F.when(start["param"] <= end["param"], start).otherwise(end), F.when(start["param"] <= end["param"], end).otherwise(start)
-    at = F.transform(F.sequence(F.lit(1), F.size(line)), lambda i: F.struct(F.element_at(line, i).alias("p"), length(F.slice(line, 1, i)).alias("m")))
-    inner = F.transform(F.filter(at, lambda v: (v["m"] > lo["param"] + ON_SEGMENT) & (v["m"] < hi["param"] - ON_SEGMENT)), lambda v: v["p"])
-    cut = F.concat(F.array(point(lo["x"], lo["y"])), inner, F.array(point(hi["x"], hi["y"])))
-    return F.when(end["param"] < start["param"], F.reverse(cut)).otherwise(cut)
+    line = _col(line)
+
+    def cut(e: Column) -> Column:
+        onward = e["a"]["param"] <= e["b"]["param"]
+        lo, hi = F.when(onward, e["a"]).otherwise(e["b"]), F.when(onward, e["b"]).otherwise(e["a"])
+        at = F.transform(F.sequence(F.lit(1), F.size(line)), lambda i: F.struct(F.element_at(line, i).alias("p"), length(F.slice(line, 1, i)).alias("m")))
+        inner = F.transform(F.filter(at, lambda v: (v["m"] > lo["param"] + ON_SEGMENT) & (v["m"] < hi["param"] - ON_SEGMENT)), lambda v: v["p"])
+        points = F.concat(F.array(point(lo["x"], lo["y"])), inner, F.array(point(hi["x"], hi["y"])))
+        return F.when(onward, points).otherwise(F.reverse(points))
+
+    return _let(F.struct(_col(start).alias("a"), _col(end).alias("b")), cut)
 
 
 def road_geometry(line, start_cross, from_cross) -> Column:

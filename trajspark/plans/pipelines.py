@@ -54,7 +54,7 @@ def flat_edges(summary: DataFrame) -> DataFrame:
     return summary.select(number.alias("edge"), F.col("c1").alias("src"), F.col("c2").alias("dst"), constant(F.col("mean_cost")).alias("bands"))
 
 
-def restore(data: DataFrame, queries: DataFrame, edges: DataFrame, hot: DataFrame, crosses: DataFrame, weights: DataFrame, most: int = evaluate.MOST_CANDIDATES, mode: str = "compat") -> DataFrame:
+def restore(data: DataFrame, queries: DataFrame, edges: DataFrame, hot: DataFrame, crosses: DataFrame, weights: DataFrame, most: int = evaluate.MOST_CANDIDATES, mode: str = "compat", more_than: int = footmark.LEAST_COUNT) -> DataFrame:
     """Metrics of restored candidates for queries (query_id, traj_id, first_seq, last_seq).
 
     The true slice gives start, end and duration; the shortest path on the graph gives the box and the rates
@@ -75,7 +75,7 @@ def restore(data: DataFrame, queries: DataFrame, edges: DataFrame, hot: DataFram
     on_path = base.select("query_id", F.explode("path.cross_id").alias("cross_id")).join(crosses, "cross_id")
     boxes = timedep.search_box(on_path)
     foot_queries = slices.join(boxes, "query_id").select("query_id", "start_cross", "end_cross", "seconds", "box")
-    foot = footmark.merged(footmark.footmarks(located, foot_queries, hot, True), footmark.footmarks(located, foot_queries, hot, False))
+    foot = footmark.merged(footmark.footmarks(located, foot_queries, hot, True), footmark.footmarks(located, foot_queries, hot, False), more_than)
     own = footmark.on_graph(foot, edges).join(edges.select("edge", "bands"), "edge")
     graphs = own.groupBy("query_id").agg(F.collect_list(F.struct(F.col("edge").cast("int").alias("edge"), F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "bands")).alias("overlay"))
     acceptable = F.floor(F.col("seconds") * footmark.DURATION_FACTOR) * 1_000_000

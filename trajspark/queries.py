@@ -350,7 +350,7 @@ def restored(spark, sf_dir):
     moves = hotedges.hot_transitions(data, hot)
     graph = pipelines.flat_edges(hotedges.edge_summary(hotedges.virtual_edges(moves, 0.8, 20)))
     grid = spark.createDataFrame([(0, 2, 1)], "straight int, left int, right int")
-    return pipelines.restore(data, queries, graph, hot, crosses, grid, most=20)
+    return pipelines.restore(data, queries, graph, hot, crosses, grid, most=20, more_than=1)
 
 
 def spread_times(spark, sf_dir):
