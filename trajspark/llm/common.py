@@ -106,6 +106,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Base of prefix polynomial hashes mod 2^64, and its inverse.
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def power(base: int, n: int) -> np.ndarray:
+    """base ** i mod 2 ** 64 for i < n; the first 2 ** 21 are kept."""
+    if base not in _powers or len(_powers[base]) < n:
+        x = np.full(max(n, 1 << 16), base, np.uint64)
+        x[0] = 1
+        x = np.multiply.accumulate(x)
+        if n > 1 << 21:
+            return x
+        _powers[base] = x
+    return _powers[base][:n]
+
+
 def columns_of(df: DataFrame, wanted: list[str]) -> DataFrame:
     """Only the named columns: extra ones, whatever their names, can't clash later."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])

@@ -13,9 +13,7 @@ of their own. Windows are WINDOW ids long.
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,84 +23,162 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import columns_of, map_arrow, record, shuffle_partitions, small_batches, table, texts
+from .common import BASE, INVERSE, columns_of, map_arrow, mix64, power, record, shuffle_partitions, small_batches, table, texts
 
 WINDOW = 4096
 END = 2
 SHARD_DOCS = 1200
 K1, B = 1.2, 0.75
-_CACHED = 1_000_000
+#: A worker remembers half as many parts as its table has slots, about 80 MB in all.
+_SLOTS = 22
 _MARKS = ".,;:!?"
-#: Separators that str.split knows and the tokenizer doesn't, and the start of its special tokens.
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+_BATCH_CHARS = 500_000
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b"\t\n\x0b\x0c\r ")] = True
 
 
 class Ids:
     """Token ids, as bytes of unsigned 16-bit numbers, of texts.
 
     The tokenizer drops white space and never joins what it parts, so a text's ids are those of its
-    parts in a row, and parts are remembered. It lower-cases, and keeps letters apart from a mark
-    after them: words that are new are reduced to their lower-case letters and encoded together in
-    one text, which is cut after each token that ends a word.
+    parts between ASCII white space, in a row. Parts are remembered in a table over their hashes,
+    looked up for a whole batch at once. The tokenizer lower-cases, and keeps letters apart from a
+    mark after them: new parts are reduced to their lower-case letters, and these are encoded together
+    in one text, which is cut after each token that ends a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
-
-    def encoded(self, text: str) -> bytes:
-        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self.marks = {m: self.encoded(m) for m in _MARKS}
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << _SLOTS, np.uint64)  # 0 is an empty slot
+        self.at, self.size = np.zeros(1 << _SLOTS, np.uint32), np.zeros(1 << _SLOTS, np.uint32)
+        self.pool, self.used, self.held = np.zeros(1 << 20, np.uint16), 0, 0
+
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """For each key its slot, or the empty slot where it would go."""
+        slot = (keys >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            found = self.keys[slot[open_]]
+            open_ = open_[(found != keys[open_]) & (found != 0)]
+            slot[open_] = (slot[open_] + 1) & ((1 << _SLOTS) - 1)
+        return slot
+
+    def _insert(self, keys: np.ndarray, values: list[np.ndarray]) -> None:
+        """Adds distinct new keys with their ids."""
+        sizes = np.array([len(v) for v in values], np.int64)
+        total = int(sizes.sum())
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), total), np.uint16)])
+        if total:
+            self.pool[self.used : self.used + total] = np.concatenate(values)
+        at = self.used + np.cumsum(sizes) - sizes
+        left = np.arange(len(keys))
+        while len(left):  # keys that want one slot take turns
+            slot = self._slots(keys[left])
+            _, first = np.unique(slot, return_index=True)
+            won = left[first]
+            self.keys[slot[first]], self.at[slot[first]], self.size[slot[first]] = keys[won], at[won], sizes[won]
+            left = np.delete(left, first)
+        self.used += total
+        self.held += len(keys)
+
+    def _parts(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, key) of the parts of bytes that end with white space."""
+        blank = _BLANK[data]
+        before = np.concatenate([[True], blank[:-1]])
+        start, end = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power(BASE, len(data)), out=sums[1:])
+        keys = mix64((sums[end] - sums[start]) * power(INVERSE, len(data) + 1)[start] + (end - start).astype(np.uint64))
+        return start, end, np.maximum(keys, np.uint64(1))
 
     def of(self, batch: list[str]) -> list[bytes]:
-        parts = [None if _ODD.search(t) else t.split() for t in batch]
-        whole = {i: self.encoded(batch[i]) for i, p in enumerate(parts) if p is None}
-        parts = [p or [] for p in parts]
-        found = [list(map(self.known.get, p)) for p in parts]
-        new: dict[str, bytes] = {}
-        for p, v in zip(parts, found):
-            if None in v:
-                new.update((x, b"") for x, y in zip(p, v) if y is None)
-        if new:
-            self._learn(new)
-            found = [[new[x] if y is None else y for x, y in zip(p, v)] if None in v else v for p, v in zip(parts, found)]
-        return [whole[i] if i in whole else b"".join(v) for i, v in enumerate(found)]
-
-    def _learn(self, new: dict[str, bytes]) -> None:
-        plan: list[tuple[str, str, str]] = []  # part, its letters, the mark after them
-        for part in new:
+        out: list[bytes] = []
+        for group in grouped_by_size(batch, _BATCH_CHARS):
+            out += self._of(group)
+        return out
+
+    def _of(self, batch: list[str]) -> list[bytes]:
+        raw = [t.encode() for t in batch]
+        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        start, end, keys = self._parts(data)
+        slot = self._slots(keys)
+        new = self.keys[slot] == 0
+        if new.any():
+            _, first = np.unique(keys[new], return_index=True)
+            first = np.flatnonzero(new)[first]
+            if self.held + 2 * len(first) > 1 << (_SLOTS - 1):
+                self.clear()
+                _, first = np.unique(keys, return_index=True)
+            text = data.tobytes()
+            self._learn([text[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())], keys[first])
+            slot = self._slots(keys)
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        after = np.cumsum(size)
+        ids = self.pool[np.repeat(at - after + size, size) + np.arange(int(after[-1]) if len(after) else 0)]
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        cuts = np.concatenate([[0], after])[np.searchsorted(end, ends, side="left")]
+        flat = ids.tobytes()
+        return [flat[2 * a : 2 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+
+    def _learn(self, parts: list[str], keys: np.ndarray) -> None:
+        plan, values = [], [None] * len(parts)
+        for i, part in enumerate(parts):
             low = part.lower()
             if "\u03a3" in part:  # lower-cased by its place in a word here, but not by the tokenizer
-                new[part] = self.encoded(part)
+                values[i] = self.encoded(part)
             elif low.isalpha():
-                plan.append((part, low, ""))
-            elif part[-1] in _MARKS and low[:-1].isalpha():
-                plan.append((part, low[:-1], part[-1]))
+                plan.append((i, low, None))
+            elif part[-1] in self.marks and low[:-1].isalpha():
+                plan.append((i, low[:-1], part[-1]))
             else:
-                new[part] = self.encoded(part)
-        words = list({w for _, w, _ in plan if w not in self.known})
-        fresh: dict[str, bytes] = {}
-        if words:
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint16)
+                values[i] = self.encoded(part)
+        words = list(dict.fromkeys(w for _, w, _ in plan))
+        known = dict(zip(words, self._words(words)))
+        for i, word, mark in plan:
+            values[i] = known[word] if mark is None else np.concatenate([known[word], self.marks[mark]])
+        fresh = np.flatnonzero(self.keys[self._slots(keys)] == 0)
+        self._insert(keys[fresh], [values[i] for i in fresh])
+
+    def _words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of distinct words of lower-case letters; those that are new are remembered."""
+        if not words:
+            return []
+        _, _, keys = self._parts(np.frombuffer("\n".join(words).encode() + b"\n", np.uint8))
+        slot = self._slots(keys)
+        new = np.flatnonzero(self.keys[slot] == 0)
+        if len(new):
+            fresh = [words[i] for i in new]
+            ids = self.encoded(" ".join(fresh))
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(words):
-                raw, at = ids.tobytes(), 0
-                for w, end in zip(words, (2 * cuts).tolist()):
-                    fresh[w] = raw[at:end]
-                    at = end
-            else:
-                fresh = {w: self.encoded(w) for w in words}
-        for mark in {m for _, _, m in plan if m and m not in self.known}:
-            self.known[mark] = self.encoded(mark)
-        for part, word, mark in plan:
-            value = fresh.get(word)
-            new[part] = (self.known[word] if value is None else value) + (self.known[mark] if mark else b"")
-        if len(self.known) < _CACHED:
-            self.known.update(fresh)
-            self.known.update((k, v) for k, v in new.items() if len(k) < 64)
+            self._insert(keys[new], np.split(ids, cuts[:-1]) if len(cuts) == len(fresh) else [self.encoded(w) for w in fresh])
+            slot = self._slots(keys)
+        return [self.pool[a : a + n] for a, n in zip(self.at[slot].tolist(), self.size[slot].tolist())]
+
+
+def grouped_by_size(batch: list[str], most: int) -> Iterator[list[str]]:
+    """Runs of texts of about `most` code points each, a longer text alone."""
+    group: list[str] = []
+    size = 0
+    for t in batch:
+        if group and size + len(t) > most:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group
 
 
 _known: dict[str, Ids] = {}
