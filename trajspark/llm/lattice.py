@@ -33,6 +33,7 @@ SAMPLES = 2
 _UNIT = re.compile("▁+[^▁\n]*|\n|[^▁\n]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MOST_EDGES = 3_000_000
+_GUIDE = 16
 
 
 class Vocabulary:
@@ -77,14 +78,24 @@ class Lattices:
 
     def clear(self) -> None:
         self.unit: dict[str, int] = {}
-        self.first = np.zeros(1, np.int64)  # edges of node i: first[i] to first[i + 1]
-        self.target, self.piece = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.log_p, self.upto = np.zeros(0), np.zeros(0)
+        self.nodes = self.edges = self.guides = 0
+        # Arrays with room to grow. Edges of node i: first[i] to first[i + 1]. rank numbers the nodes that have edges;
+        # guide says where to look first for a number in each of _GUIDE parts of (0, 1).
+        self.first, self.rank = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.target, self.source, self.piece = (np.zeros(0, np.int64) for _ in range(3))
+        self.log_p, self.upto, self.guide = np.zeros(0), np.zeros(0), np.zeros(0, np.int32)
+
+    def _append(self, name: str, used: int, values: np.ndarray) -> None:
+        array = getattr(self, name)
+        if used + len(values) > len(array):
+            array = np.concatenate([array, np.zeros(max(len(values), len(array)), array.dtype)])
+            setattr(self, name, array)
+        array[used : used + len(values)] = values
 
     def starts(self, units: list[str]) -> np.ndarray:
         """The first node of each unit."""
         new = {u for u in units if u not in self.unit}
-        if new and len(self.target) > _MOST_EDGES:
+        if new and self.edges > _MOST_EDGES:
             self.clear()
             new = set(units)
         if new:
@@ -146,16 +157,23 @@ class Lattices:
         by_node = np.argsort(node[source], kind="stable")
         source, target, piece, log_p = node[source[by_node]], target[by_node], piece[by_node], log_p[by_node]
         count = np.bincount(source, minlength=n + len(units))
-        base, edges = len(self.first) - 1, len(self.target)
+        base, edges = self.nodes, self.edges
         own = np.exp(log_p)
         begin = np.cumsum(count) - count
         running = np.cumsum(own)
-        inside = running - np.repeat((running - own)[np.minimum(begin, max(len(own) - 1, 0))], count)
-        self.first = np.concatenate([self.first, edges + np.cumsum(count)])
-        self.target = np.concatenate([self.target, target + base])
-        self.piece = np.concatenate([self.piece, piece])
-        self.log_p = np.concatenate([self.log_p, log_p])
-        self.upto = np.concatenate([self.upto, source + base + np.minimum(inside, 1.0)])
+        inside = np.minimum(running - np.repeat((running - own)[np.minimum(begin, max(len(own) - 1, 0))], count), 1.0)
+        some = count > 0
+        inside[begin[some] + count[some] - 1] = 1.0
+        reached = np.ceil(inside * _GUIDE).astype(np.int64)
+        before = np.concatenate([[0], reached[:-1]])
+        before[begin[some]] = 0
+        guide = np.repeat(np.arange(edges, edges + len(own), dtype=np.int32), np.maximum(reached - before, 0))
+        self._append("rank", base, np.where(some, self.guides // _GUIDE + np.cumsum(some) - 1, -1))
+        self._append("guide", self.guides, guide)
+        self._append("first", base + 1, edges + np.cumsum(count))
+        for name, values in (("target", target + base), ("source", source + base), ("piece", piece), ("log_p", log_p), ("upto", inside)):
+            self._append(name, edges, values)
+        self.nodes, self.edges, self.guides = base + len(count), edges + len(own), self.guides + len(guide)
         firsts = base + np.cumsum(sizes + 1) - (sizes + 1)
         self.unit.update(zip(units, firsts.tolist()))
 
@@ -164,14 +182,17 @@ class Lattices:
         walker, out = np.arange(len(node)), []
         step = 0
         node = node.copy()
-        alive = np.flatnonzero(self.first[node + 1] > self.first[node])
+        alive = np.flatnonzero(self.rank[node] >= 0)
         while len(alive):
-            here = node[alive]
-            edge = np.searchsorted(self.upto, here + draw(walker[alive], step), side="right")
-            edge = np.clip(edge, self.first[here], self.first[here + 1] - 1)
+            u = draw(walker[alive], step)
+            edge = self.guide[self.rank[node[alive]] * _GUIDE + (u * _GUIDE).astype(np.int64)].astype(np.int64)
+            late = np.flatnonzero(self.upto[edge] <= u)
+            while len(late):
+                edge[late] += 1
+                late = late[self.upto[edge[late]] <= u[late]]
             out.append((walker[alive], np.full(len(alive), step), edge))
             node[alive] = self.target[edge]
-            alive = alive[self.first[node[alive] + 1] > self.first[node[alive]]]
+            alive = alive[self.rank[node[alive]] >= 0]
             step += 1
         if not out:
             return tuple(np.zeros(0, np.int64) for _ in range(3))
@@ -248,7 +269,7 @@ def samples(lattices: Lattices, batch: list[str], keys: list[int], k: int) -> li
             if not len(tail):
                 continue
             left = -np.expm1(log_p)
-            node = np.searchsorted(lattices.first, tail, side="right") - 1
+            node = lattices.source[tail]
             if subset.closed:
                 gone = subset.closed | {int(tail[0])}
                 open_ = [e for e in range(int(lattices.first[node[0]]), int(lattices.first[node[0] + 1])) if e not in gone]
@@ -305,7 +326,7 @@ def row_key(doc_id, seed: int) -> int:
 
 
 def _sampled(docs: DataFrame, model: str, k: int, seed: int, rendered, schema: str) -> DataFrame:
-    small_batches(docs.sparkSession, 128)
+    small_batches(docs.sparkSession)
 
     def per_batch(batch):
         lattices = lattices_of(model)
