@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, mix64, record, shuffle_partitions, small_batches, table, texts
+from .common import columns_of, dealt, mix64, record, shuffle_partitions, small_batches, table, texts
 
 BITS = 256
 RADIUS = 7
@@ -165,7 +165,8 @@ def with_neighbour(docs: DataFrame) -> DataFrame:
     rows = columns_of(docs, ["doc_id", "text"]).withColumn("k", key)
     rows = rows.join(F.broadcast(before), F.col("k") == F.col("head"), "left")
     places = F.when(F.col("before").isNull(), F.array(F.struct(bucket(F.col("k")).alias("bucket"), F.lit(False).alias("extra")))).otherwise(F.array(F.struct(bucket(F.col("k")).alias("bucket"), F.lit(False).alias("extra")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("extra"))))
-    return rows.select(F.explode(places).alias("at"), "k", "doc_id", "text").select("at.bucket", "at.extra", "k", "doc_id", "text").repartition(n, "bucket").sortWithinPartitions("bucket", "extra", F.desc("k"), "text").drop("k")
+    placed = rows.select(F.explode(places).alias("at"), "k", "doc_id", "text").select("at.bucket", "at.extra", "k", "doc_id", "text")
+    return dealt(placed, n, "bucket").sortWithinPartitions("bucket", "extra", F.desc("k"), "text").drop("k")
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
