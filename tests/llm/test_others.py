@@ -236,7 +236,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 def every_segmentation(text):
     v = lattice.lattices_of(MODEL).vocabulary
-    pieces = {v.model.id_to_piece(i): (i, x) for h, ids, w in v.of_size.values() for i, x in zip(ids.tolist(), w.tolist())}
+    pieces = {v.model.id_to_piece(i): (i, x) for _, ids, w, _ in v.of_size.values() for i, x in zip(ids.tolist(), w.tolist())}
     line, out = "▁" + text.replace(" ", "▁"), []
 
     def go(i, ids, w):
@@ -285,6 +285,14 @@ def test_all_segmentations_come_out():
     assert {tuple(lattice.ids_of(lattices, e).tolist()) for e, *_ in rows} == set(known)
 
 
+def test_samples_do_not_depend_on_what_is_remembered(monkeypatch):
+    batches = [[f"word{i} and again {j} words" for j in range(4)] + ["x" * 70_000 if i == 1 else "y"] for i in range(4)]
+    told = lambda lattices: [[(lattice.ids_of(lattices, e).tolist(), round(p, 9), g) for e, p, g, _ in rows] for b in batches for rows in lattice.samples(lattices, b, [lattice.row_key(i, 0) for i in range(5)], 2)]
+    whole = told(lattice.Lattices(MODEL))
+    monkeypatch.setattr(lattice, "_MOST_EDGES", 40)
+    assert told(lattice.Lattices(MODEL)) == whole
+
+
 def test_samples_round_trip(spark):
     rows = [r for r in ODD if r[1] is None or len(r[1]) < 100]
     docs = documents(spark, rows)

@@ -34,6 +34,7 @@ _UNIT = re.compile("▁+[^▁\n]*|\n|[^▁\n]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MOST_EDGES = 3_000_000
 _GUIDE = 16
+_SEEN = 18
 
 
 class Vocabulary:
@@ -54,7 +55,10 @@ class Vocabulary:
             own = [j for j, p in enumerate(pieces) if len(p) == size]
             hashes = np.array([_hash(_points(pieces[j])) for j in own], np.uint64)
             order = np.argsort(hashes)
-            self.of_size[size] = hashes[order], np.array(normal)[own][order], -np.log1p(rank[own][order].astype(float))
+            # Most substrings are no piece: a bitmap over the hashes' first bits turns them away.
+            seen = np.zeros(1 << _SEEN, bool)
+            seen[(mix64(hashes) >> np.uint64(64 - _SEEN)).astype(np.int64)] = True
+            self.of_size[size] = hashes[order], np.array(normal)[own][order], -np.log1p(rank[own][order].astype(float)), seen
 
 
 def _points(text: str) -> np.ndarray:
@@ -79,10 +83,11 @@ class Lattices:
     def clear(self) -> None:
         self.unit: dict[str, int] = {}
         self.nodes = self.edges = self.guides = 0
+        self.passing: list[str] = []
         # Arrays with room to grow. Edges of node i: first[i] to first[i + 1]. rank numbers the nodes that have edges;
         # guide says where to look first for a number in each of _GUIDE parts of (0, 1).
         self.first, self.rank = np.zeros(1, np.int64), np.zeros(0, np.int64)
-        self.target, self.source, self.piece = (np.zeros(0, np.int64) for _ in range(3))
+        self.target, self.source, self.piece = (np.zeros(0, np.int32) for _ in range(3))
         self.log_p, self.upto, self.guide = np.zeros(0), np.zeros(0), np.zeros(0, np.int32)
 
     def _append(self, name: str, used: int, values: np.ndarray) -> None:
@@ -94,12 +99,17 @@ class Lattices:
 
     def starts(self, units: list[str]) -> np.ndarray:
         """The first node of each unit."""
-        new = {u for u in units if u not in self.unit}
-        if new and self.edges > _MOST_EDGES:
-            self.clear()
-            new = set(units)
+        new = set() if self.passing else {u for u in units if u not in self.unit}
+        if self.passing:  # units of the last call that there was no lasting room for
+            for u in self.passing:
+                del self.unit[u]
+            self.nodes, self.edges, self.guides = self.lasting
+            self.passing = []
+            new = {u for u in units if u not in self.unit}
         if new:
-            self._add(sorted(new))
+            if self.edges > _MOST_EDGES:
+                self.lasting, self.passing = (self.nodes, self.edges, self.guides), list(new)
+            self._add(list(new))
         return np.array(list(map(self.unit.__getitem__, units)), np.int64)
 
     def _add(self, units: list[str]) -> None:
@@ -119,8 +129,9 @@ class Lattices:
             rolled = rolled[:m] * _BASE + points[size - 1 :] + np.uint64(1)
             if size not in v.of_size:
                 continue
-            hashes, ids, weights = v.of_size[size]
+            hashes, ids, weights, seen = v.of_size[size]
             at = np.flatnonzero(to_end[:m] >= size)
+            at = at[seen[(mix64(rolled[at]) >> np.uint64(64 - _SEEN)).astype(np.int64)]]
             place = np.minimum(np.searchsorted(hashes, rolled[at]), len(hashes) - 1)
             hit = hashes[place] == rolled[at]
             at, place = at[hit], place[hit]
@@ -136,8 +147,9 @@ class Lattices:
         piece.append(-points[rest].astype(np.int64) - 1)  # a character by its bytes
         weight.append(v.byte_weight * np.select([points[rest] < 0x80, points[rest] < 0x800, points[rest] < 0x10000], [1, 2, 3], 4))
         source, target, piece, weight = map(np.concatenate, (source, target, piece, weight))
-        order = np.lexsort((target, to_end[source]))
-        order = order[np.lexsort((source[order], to_end[source][order]))]
+        order = np.argsort(source, kind="stable")
+        distance = to_end[source[order]]
+        order = order[np.argsort(distance.astype(np.uint16) if distance.max() < 1 << 16 else distance, kind="stable")]
         source, target, piece, weight = source[order], target[order], piece[order], weight[order]
         beta = np.zeros(n + len(units))
         distance = to_end[source]
@@ -195,7 +207,7 @@ class Lattices:
             alive = alive[self.rank[node[alive]] >= 0]
             step += 1
         if not out:
-            return tuple(np.zeros(0, np.int64) for _ in range(3))
+            return tuple(np.zeros(0, np.int32) for _ in range(3))
         w, s, e = (np.concatenate(x) for x in zip(*out))
         order = np.lexsort((s, w))
         return w[order], s[order], e[order]
@@ -279,7 +291,7 @@ def samples(lattices: Lattices, batch: list[str], keys: list[int], k: int) -> li
             some = np.flatnonzero(left > 1e-15)
             if len(some):
                 values = truncated(before[some] + np.log(left[some]), uniforms(seeds[d], 1000 + rank, some), subset.value)
-                keep = np.argsort(-values, kind="stable")[: k + 1]  # no more than these can still come out
+                keep = np.argpartition(-values, k)[: k + 1] if len(values) > k + 1 else range(len(values))  # no more can still come out
                 for j in keep:
                     i = int(some[j])
                     closed = (subset.closed if i == 0 else frozenset()) | {int(tail[i])}
