@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import columns_of, mix64, record, shuffle_partitions, small_batches, table, written
+from .common import columns_of, dealt, mix64, record, shuffle_partitions, small_batches, table, written
 
 LENGTH = 100
 GRAM = 32
@@ -190,7 +190,7 @@ BLOCKS = "rest binary, sizes binary, data binary"
 
 def blocks(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) as blocks of about BLOCK_BYTES: (block, rest, sizes, data), written."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 64)
     schema = to_arrow_schema(StructType.fromDDL(BLOCKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +318,7 @@ def _twice(packed: DataFrame, parts: int) -> DataFrame:
                 yield record(note_schema, [[block[owner[part[0]]]], [flat[part].tobytes()]])
 
     sent = packed.mapInArrow(send, "part int, block long, note binary")
-    return sent.repartition(parts, "part").mapInArrow(match, NOTE)
+    return dealt(sent, parts, "part").mapInArrow(match, NOTE)
 
 
 def _intervals(starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -441,14 +441,14 @@ def _repeats(contexts: DataFrame, parts: int) -> DataFrame:
                 which, a, b = decided(head[part], block[part], data[at])
                 yield from told(block[part][which], head["start"][part][which] + a, head["start"][part][which] + b)
 
-    return contexts.withColumn("to", F.when(F.col("part") < 0, LOCAL - F.col("part")).otherwise(F.col("part"))).repartition(parts, "to").drop("to").mapInArrow(run, NOTE)
+    return dealt(contexts.withColumn("to", F.when(F.col("part") < 0, LOCAL - F.col("part")).otherwise(F.col("part"))), parts, "to").drop("to").mapInArrow(run, NOTE)
 
 
 def repeated(docs: DataFrame, rendered: Callable, schema: str) -> DataFrame:
     """For each block of docs, the rows that `rendered` makes of (its other columns, [(bytes, removed mask)])."""
     parts = shuffle_partitions(docs.sparkSession)
     packed = blocks(docs)
-    small_batches(docs.sparkSession, 8)  # rows are blocks now
+    small_batches(docs.sparkSession, 4)  # rows are blocks now
     notes = _repeats(_contexts(packed, _twice(packed, parts), parts), parts)
 
     def per_block(row: dict, held: list[bytes]):
