@@ -35,6 +35,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MOST_EDGES = 3_000_000
 _GUIDE = 16
 _SEEN = 18
+#: Places looked at first; the most that a Gumbel value of a 53-bit number can be.
+_FIRST = 64
+_MOST_GUMBEL = 37.5
 
 
 class Vocabulary:
@@ -99,18 +102,19 @@ class Lattices:
 
     def starts(self, units: list[str]) -> np.ndarray:
         """The first node of each unit."""
-        new = set() if self.passing else {u for u in units if u not in self.unit}
         if self.passing:  # units of the last call that there was no lasting room for
             for u in self.passing:
                 del self.unit[u]
             self.nodes, self.edges, self.guides = self.lasting
             self.passing = []
-            new = {u for u in units if u not in self.unit}
-        if new:
+        found = list(map(self.unit.get, units))
+        if None in found:
+            new = list({u for u, n in zip(units, found) if n is None})
             if self.edges > _MOST_EDGES:
-                self.lasting, self.passing = (self.nodes, self.edges, self.guides), list(new)
-            self._add(list(new))
-        return np.array(list(map(self.unit.__getitem__, units)), np.int64)
+                self.lasting, self.passing = (self.nodes, self.edges, self.guides), new
+            self._add(new)
+            found = [self.unit[u] if n is None else n for u, n in zip(units, found)]
+        return np.array(found, np.int64)
 
     def _add(self, units: list[str]) -> None:
         v = self.vocabulary
@@ -209,7 +213,7 @@ class Lattices:
         if not out:
             return tuple(np.zeros(0, np.int32) for _ in range(3))
         w, s, e = (np.concatenate(x) for x in zip(*out))
-        order = np.lexsort((s, w))
+        order = np.argsort(w, kind="stable")  # steps come in order
         return w[order], s[order], e[order]
 
 
@@ -280,22 +284,29 @@ def samples(lattices: Lattices, batch: list[str], keys: list[int], k: int) -> li
             results[d].append((np.concatenate([subset.prefix, tail]), subset.before + float(log_p.sum()), subset.value))
             if not len(tail):
                 continue
-            left = -np.expm1(log_p)
-            node = lattices.source[tail]
-            if subset.closed:
-                gone = subset.closed | {int(tail[0])}
-                open_ = [e for e in range(int(lattices.first[node[0]]), int(lattices.first[node[0] + 1])) if e not in gone]
-                left[0] = np.exp(lattices.log_p[open_]).sum() if open_ else 0.0
-            single = lattices.first[node + 1] - lattices.first[node] == 1
-            left[single] = 0.0
-            some = np.flatnonzero(left > 1e-15)
-            if len(some):
-                values = truncated(before[some] + np.log(left[some]), uniforms(seeds[d], 1000 + rank, some), subset.value)
-                keep = np.argpartition(-values, k)[: k + 1] if len(values) > k + 1 else range(len(values))  # no more can still come out
-                for j in keep:
-                    i = int(some[j])
-                    closed = (subset.closed if i == 0 else frozenset()) | {int(tail[i])}
-                    queues[d].append(_Subset(float(values[j]), np.concatenate([subset.prefix, tail[:i]]), float(before[i]), int(unit[i]), int(node[i]), closed))
+            gone = subset.closed | {int(tail[0])} if subset.closed else frozenset()
+            open_ = [e for e in range(int(lattices.first[subset.node]), int(lattices.first[subset.node + 1])) if e not in gone] if gone else []
+            places, values = np.zeros(0, np.int64), np.zeros(0)
+            at, end = 0, min(len(tail), _FIRST)
+            while at < end:
+                part = np.arange(at, end)
+                left = -np.expm1(log_p[part])
+                if at == 0 and gone:
+                    left[0] = np.exp(lattices.log_p[open_]).sum() if open_ else 0.0
+                node = lattices.source[tail[part]]
+                left[lattices.first[node + 1] - lattices.first[node] == 1] = 0.0
+                part, left = part[left > 1e-15], left[left > 1e-15]
+                places = np.concatenate([places, part])
+                values = np.concatenate([values, truncated(before[part] + np.log(left), uniforms(seeds[d], 1000 + rank, part), subset.value)])
+                # A value is at most its location + _MOST_GUMBEL and locations fall along the path, so places
+                # further on than this can't be among the k + 1 best.
+                bound = np.partition(values, len(values) - k - 1)[-k - 1] - _MOST_GUMBEL if len(values) > k else -np.inf
+                at, end = end, int(np.searchsorted(-before, -bound, side="right"))
+            keep = np.argpartition(-values, k)[: k + 1] if len(values) > k + 1 else range(len(values))
+            for j in keep:
+                i = int(places[j])
+                closed = (subset.closed if i == 0 else frozenset()) | {int(tail[i])}
+                queues[d].append(_Subset(float(values[j]), np.concatenate([subset.prefix, tail[:i]]), float(before[i]), int(unit[i]), int(lattices.source[tail[i]]), closed))
     out = []
     for t, found, queue in zip(batch, results, queues):
         if not t:

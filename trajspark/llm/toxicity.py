@@ -169,7 +169,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         if r.feature[0] == "w":
             for k in _BEGINNINGS:
                 most[r.feature[1 : k + 1]] = max(most[r.feature[1 : k + 1]], r.t)
-    starts = {r.feature[1:]: r.weight for r in terms if r.feature[0] == "b" and r.t > 1.2 * most[r.feature[1:]]}
+    begun = {r.feature[1:]: r for r in terms if r.feature[0] == "b" and r.t > 1.2 * most[r.feature[1:]]}
+    # Nor if a longer one and that word are in nearly as many of them, and the longer one tells much more.
+    vague = {x[:k] for x, r in begun.items() for k in range(min(_BEGINNINGS), len(x)) if x[:k] in begun and r.t + most[x[:k]] >= 0.8 * begun[x[:k]].t and r.weight > begun[x[:k]].weight + 1}
+    starts = {x: r.weight for x, r in begun.items() if x not in vague}
     phrase = F.split(F.substring("feature", 2, 1_000_000), " ")
     lexical = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
     clean = counts.where("substr(feature, 1, 1) = 'x'").where(F.arrays_overlap(phrase, lexical)).where((n >= 3) & (n * toxic >= 3 * t * other)).orderBy(F.desc("n"), "feature").limit(EXCEPTIONS).collect() if words else []
