@@ -342,8 +342,9 @@ def restored(spark, sf_dir):
     # A thousandth of the time: the events' days become minutes, as slices of a day need.
     epoch = F.lit("2024-01-01 00:00:00").cast("timestamp")
     quick = F.timestamp_micros(F.unix_micros(epoch) + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(epoch)) / 1000))
-    data = _dense(spark, sf_dir).withColumn("ts", quick)
-    hot, crosses = fx.hot_crosses(spark, HOT), fx.cross(spark)
+    # Every ninth cross, so that boxes around paths have an inside.
+    data = _dense(spark, sf_dir).withColumn("ts", quick).withColumn("cross_id", F.col("cross_id") * 9)
+    hot, crosses = fx.hot_crosses(spark, HOT).withColumn("cross_id", F.col("cross_id") * 9), fx.cross(spark)
     numbered = data.join(hot, "cross_id").withColumn("_n", F.row_number().over(W.partitionBy("traj_id").orderBy("seq")))
     spans = numbered.where("_n IN (1, 6)").groupBy("traj_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).where("first_seq < last_seq")
     queries = spans.select(F.col("traj_id").alias("query_id"), "traj_id", "first_seq", "last_seq")
