@@ -251,9 +251,11 @@ _PATTERN = "00:10:00-07:00:00:30.5\n07:00:00-09:30:00:95\n09:30:00-17:00:00:42.2
 
 
 def weight_at(spark, sf_dir):
-    bands = weights.parse_pattern(F.lit(_PATTERN))
+    # Patterns are parsed once an edge, then joined to the times.
+    edges = spark.createDataFrame([(0, _PATTERN)], "edge int, pattern string").select("edge", weights.parse_pattern(F.col("pattern")).alias("bands")).persist()
+    bands = F.col("bands")
     t = F.expr("((hour(ts) * 60 + minute(ts)) * 60 + second(ts)) * 1000000L").alias("t_us")
-    times = fx.traj_data(spark, sf_dir).select("traj_id", "seq", t)
+    times = fx.traj_data(spark, sf_dir).select("traj_id", "seq", t, (F.col("seq") * 0).cast("int").alias("edge")).join(edges, "edge")
     return times.select("traj_id", "seq", "t_us", weights.weight_at(bands, F.col("t_us")).alias("compat"), weights.weight_at(bands, F.col("t_us"), "containing").alias("containing"))
 
 
