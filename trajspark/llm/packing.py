@@ -1,10 +1,14 @@
 """Lexical retrieval packing: windows filled with the nearest unused neighbours of a seed document.
 
-Documents are dealt to shards of about SHARD_DOCS documents. Each shard has a BM25 inverted
-index of its token ids; a window starts with a seed (an unused document, or the one that the last
-window cut), asks the index for the seed's unused neighbours and takes them, best first, until it
-is full. Documents without a common informative term follow in order of doc_id. What is left at a
-shard's end is cut into sequences whose lengths are powers of two, which need no padding.
+Document frequencies and the mean length are those of all documents. Documents are put in order of
+their content: by the informative term that is least in a random order weighted by idf, then by
+those of two more such orders, so that copies stand together and texts that share many terms often
+do. Shards of about SHARD_DOCS documents are cut from that order, wherever a group of one key ends;
+what shares all keys is split by a hash. Each shard has a BM25 inverted index of its token ids; a
+window starts with a seed (an unused document, or the one that the last window cut), asks the index
+for the seed's unused neighbours and takes them, best first, until it is full. Documents without a
+common informative term follow in order of doc_id. What is left at a shard's end is cut into
+sequences whose lengths are powers of two, which need no padding.
 
 A document is its token ids and then END; a null text is empty. Rows of one doc_id are documents
 of their own. Windows are WINDOW ids long.
@@ -17,13 +21,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import BASE, INVERSE, columns_of, map_arrow, mix64, power, record, shuffle_partitions, small_batches, table, texts
+from .common import BASE, INVERSE, columns_of, map_arrow, mix64, power, record, shuffle_partitions, small_batches, table, texts, written
 
 WINDOW = 4096
 END = 2
@@ -190,26 +195,34 @@ def ids_of(path: str) -> Ids:
     return _known[path]
 
 
+_TERMS = 1 << 16
+
+
+def idf_of(n: int, df: np.ndarray) -> np.ndarray:
+    """Weights of terms; those of half of the documents or more weigh nothing."""
+    return np.log(np.maximum((n - df + 0.5) / (df + 0.5), 1.0))
+
+
 class Index:
-    """BM25 over the documents of one shard."""
+    """BM25 over the documents of one shard, under the idf and mean length of all shards (by default, its own)."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray | None = None, mean: float | None = None):
         n = len(docs)
         sizes = np.array([len(d) for d in docs])
         flat = np.concatenate(docs).astype(np.int64) | (np.repeat(np.arange(n, dtype=np.int64), sizes) << 16)
         pairs, times = np.unique(flat, return_counts=True)
         term, doc = pairs & 0xFFFF, pairs >> 16
-        df = np.bincount(term, minlength=1 << 16)
-        idf = np.log(np.maximum((n - df + 0.5) / (df + 0.5), 1.0))
+        if idf is None:
+            idf = idf_of(n, np.bincount(term, minlength=_TERMS))
         informative = idf[term] > 0  # others weigh nothing
         term, doc, times = term[informative], doc[informative], times[informative].astype(float)
-        length = sizes / max(sizes.mean(), 1.0)
+        length = sizes / max(sizes.mean() if mean is None else mean, 1.0)
         weight = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * length[doc]))
         self.of_doc = np.searchsorted(doc, np.arange(n + 1))
         self.terms = term
         by = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[by], weight[by]
-        self.of_term = np.searchsorted(term[by], np.arange((1 << 16) + 1))
+        self.of_term = np.searchsorted(term[by], np.arange(_TERMS + 1))
         self.n = n
 
     def neighbours(self, seed: int) -> np.ndarray:
@@ -222,9 +235,9 @@ class Index:
         return np.argsort(-scores, kind="stable")
 
 
-def arranged(docs: list[np.ndarray], window: int = WINDOW) -> list[int]:
+def arranged(docs: list[np.ndarray], window: int = WINDOW, idf: np.ndarray | None = None, mean: float | None = None) -> list[int]:
     """The order in which a shard's documents follow one another."""
-    index = Index(docs)
+    index = Index(docs, idf, mean)
     used = np.zeros(len(docs), bool)
     order: list[int] = []
     place, next_, seed = 0, 0, None
@@ -261,10 +274,10 @@ def sequences(total: int, window: int = WINDOW) -> list[int]:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pieces(shard: int, doc_ids: list, docs: list[np.ndarray]) -> list[tuple]:
+def pieces(shard: int, doc_ids: list, docs: list[np.ndarray], idf: np.ndarray | None = None, mean: float | None = None) -> list[tuple]:
     lengths = sequences(sum(map(len, docs)))
     out, sequence, offset = [], 0, 0
-    for i in arranged(docs):
+    for i in arranged(docs, WINDOW, idf, mean):
         ids, start = docs[i].astype("<u4"), 0
         while start < len(ids):
             n = min(len(ids) - start, lengths[sequence] - offset)
@@ -276,25 +289,115 @@ def pieces(shard: int, doc_ids: list, docs: list[np.ndarray]) -> list[tuple]:
     return out
 
 
+def statistics(coded: DataFrame) -> tuple[int, float, np.ndarray]:
+    """Number and mean length of all documents, and of how many each term is part."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, df = 0, 0, np.zeros(_TERMS, np.int64)
+        for batch in batches:
+            for cell in batch.column("ids").to_pylist():
+                ids = np.frombuffer(cell, np.uint16)
+                df[np.unique(ids)] += 1
+                n, total = n + 1, total + len(ids)
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *terms.tolist()], pa.int32()), pa.array([n, total, *df[terms].tolist()], pa.int64())], ["term", "n"])
+
+    found = coded.select("ids").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a term
+    df = np.zeros(_TERMS, np.int64)
+    n = total = 0
+    for r in found:
+        if r.term == -2:
+            n = r.n
+        elif r.term == -1:
+            total = r.n
+        else:
+            df[r.term] = r.n
+    return n, total / max(n, 1), df
+
+
+#: Bits of a term in a key of three terms, and of the hash that splits what shares all three.
+_KEY_BITS, _TIE_BITS = 16, 15
+
+
+def orders(idf: np.ndarray) -> list[np.ndarray]:
+    """Places of the terms in three random orders in which a term is first with a chance like its idf."""
+    out = []
+    for salt in range(3):
+        u = ((mix64(np.arange(_TERMS, dtype=np.uint64) * np.uint64(3) + np.uint64(salt + 1)) >> np.uint64(11)).astype(float) + 0.5) / 2**53
+        wait = np.full(_TERMS, np.inf)
+        np.divide(-np.log(u), idf, out=wait, where=idf > 0)
+        place = np.empty(_TERMS, np.int64)
+        place[np.argsort(wait, kind="stable")] = np.arange(_TERMS)
+        place[idf <= 0] = _TERMS - 1
+        out.append(place)
+    return out
+
+
+def content_keys(docs: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
+    """63-bit keys: each document's least place in every order, above _TIE_BITS bits of zero."""
+    starts = np.cumsum([0, *map(len, docs)])[:-1]
+    flat = np.concatenate(docs)
+    key = np.zeros(len(docs), np.int64)
+    for place in places:
+        key = (key << _KEY_BITS) | np.minimum.reduceat(place[flat], starts)
+    return key << _TIE_BITS
+
+
+def bounds(keyed: DataFrame, n: int) -> np.ndarray:
+    """The keys at which shards begin but for the first: of n rows, those of rank SHARD_DOCS, twice that and so on."""
+    spark = keyed.sparkSession
+    if n <= SHARD_DOCS:
+        return np.zeros(0, np.int64)
+    shards = math.ceil(n / SHARD_DOCS)
+    size = math.ceil(n / shards)
+    ranked = keyed.select("key").repartitionByRange(shuffle_partitions(spark), "key").sortWithinPartitions("key").withColumn("at", F.monotonically_increasing_id())
+    ranked = written(ranked.select("key", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at")), "ranks")
+    before, total = [], 0
+    for r in sorted(ranked.groupBy("part").count().collect()):  # a row a partition
+        before.append((r["part"], total))
+        total += r["count"]
+    offsets = F.broadcast(spark.createDataFrame(before, "part int, before long"))
+    chosen = ranked.join(offsets, "part").where((F.col("at") + F.col("before") > 0) & ((F.col("at") + F.col("before")) % size == 0)).select("key").collect()  # a row a shard
+    return np.unique(np.array([r.key for r in chosen], np.int64))
+
+
 def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     """The pieces of all documents; an empty table gives none."""
     spark = docs.sparkSession
     small_batches(spark)
     schema = to_arrow_schema(StructType.fromDDL(PIECES))
-    rows = columns_of(docs, ["doc_id", "text"])
-    shards = max(1, math.ceil(docs.count() / SHARD_DOCS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
     def encode(batch):
         known = ids_of(tokenizer)
         end = np.array([END], np.uint16).tobytes()
-        return [batch.column("shard"), batch.column("doc_id"), [x + end for x in known.of(texts(batch.column("text")))]]
+        return [batch.column("doc_id"), [x + end for x in known.of(texts(batch.column("text")))]]
+
+    coded = map_arrow(columns_of(docs, ["doc_id", "text"]), encode, "doc_id long, ids binary")
+    coded = written(coded.withColumn("tie", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << _TIE_BITS))), "ids")
+    n, mean, df = statistics(coded)
+    idf = idf_of(n, df)
+    places = orders(idf)
+
+    @F.pandas_udf("long")
+    def content(ids: pd.Series) -> pd.Series:
+        return pd.Series(content_keys([np.frombuffer(x, np.uint16) for x in ids], places))
+
+    if n > SHARD_DOCS:
+        keyed = written(coded.select("doc_id", "ids", (content("ids") + F.col("tie")).alias("key")), "keys")
+        cuts = bounds(keyed, n)
+
+        @F.pandas_udf("int")
+        def shard_of(key: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="right").astype(np.int32))
+
+        placed, shards = keyed.select(shard_of("key").alias("shard"), "doc_id", "ids"), len(cuts) + 1
+    else:
+        placed, shards = coded.select(F.lit(0).alias("shard"), "doc_id", "ids"), 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, held = None, [], []
 
         def out():
-            made = pieces(now, ids, held)
+            made = pieces(now, ids, held, idf, mean)
             for at in range(0, len(made), 10_000):
                 yield record(schema, list(zip(*made[at : at + 10_000])))
 
@@ -309,8 +412,7 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
         if held:
             yield from out()
 
-    coded = map_arrow(rows, encode, "shard int, doc_id long, ids binary")
-    return coded.repartition(min(shards, shuffle_partitions(spark)), "shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(run, PIECES)
+    return placed.repartition(min(shards, shuffle_partitions(spark)), "shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(run, PIECES)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
