@@ -42,3 +42,18 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_window_study_takes_every_point(spark, monkeypatch):
+    from trajspark import queries
+
+    class Seen(Exception):
+        pass
+
+    def candidates(points, roads, parameters):
+        raise Seen(points.select("traj_id", "seq").distinct().count())
+
+    monkeypatch.setattr(queries.matching, "match_candidates", candidates)
+    with pytest.raises(Seen) as seen:
+        QUERIES["window_study"](spark, SF)
+    assert seen.value.args == (spark.read.parquet(f"{SF}/events.parquet").count(),)

@@ -193,12 +193,6 @@ def routed_crosses(spark, sf_dir):
     return routing.route_crosses(fx.road(spark), pairs).select("src", "dst", "length", "valid")
 
 
-def _small(spark, sf_dir):
-    """The first twenty logs, of fifteen points each: a fixture of routing volume that a test run can bear."""
-    logs = fx.gps(spark, sf_dir).where("traj_id < 20")
-    return logs.withColumn("_n", F.row_number().over(W.partitionBy("traj_id").orderBy("seq"))).where("_n <= 15").drop("_n")
-
-
 def _candidates(spark, sf_dir):
     points = fx.gps(spark, sf_dir)
     return points, matching.match_candidates(points, fx.road(spark), MATCH).persist()
@@ -322,8 +316,8 @@ def restore_metrics(spark, sf_dir):
 
 
 def window_study(spark, sf_dir):
-    """Matched crosses of short logs under windows of 2 and 5 points, against the unbounded one."""
-    points = _small(spark, sf_dir)
+    """Matched crosses of all logs under windows of 2 and 5 points, against the unbounded one."""
+    points = fx.gps(spark, sf_dir)
     roads = fx.road(spark)
     found = matching.match_candidates(points, roads, MATCH).persist()
     moves = matching.transitions(points, found, roads).persist()
