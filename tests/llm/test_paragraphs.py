@@ -1,4 +1,5 @@
 import random
+import re
 
 from trajspark.llm import paragraphs
 
@@ -63,3 +64,26 @@ def test_text_without_repeats(spark):
     texts = dict(rows())
     assert got[1] == texts[1] and got[5] == texts[5] and got[7] is None
     assert got[4] == "" and got[2].count("\n") == 1 and "changed" not in got[2]
+
+
+def test_every_repeated_passage_meets_a_row(spark):
+    """Short lines, passages across lines of other lengths and inside longer lines; the brute force knows neither lines nor blocks."""
+    shared = make(60, 11)
+    licence = " ".join(make(12, 12))
+    inside = " ".join(make(50, 13) + shared + make(50, 14))
+    broken = "\n".join(" ".join(shared[i : i + 4]) for i in range(0, 60, 4))
+    given = [(1, inside), (2, broken), (3, f"{' '.join(make(9, 15))}\n{licence}"), (4, f"{licence}\n{' '.join(make(30, 16))}"), (5, " ".join(make(300, 17)))]
+    found = paragraphs.repeats(documents(spark, given)).collect()
+    windows = {}
+    for d, t in given:
+        words = [(m.group().lower(), *m.span()) for m in re.finditer(r"\S+", t)]
+        for n in (12, 50):
+            for i in range(len(words) - n + 1):
+                windows.setdefault(tuple(w for w, _, _ in words[i : i + n]), []).append((d, words[i][1], words[i + n - 1][2]))
+    again = [(len(k), p) for k, v in windows.items() if len({d for d, _, _ in v}) > 1 for p in v if len(k) == 50 or p[0] in (3, 4)]
+    assert {p[0] for _, p in again} == {1, 2, 3, 4}
+    for _, (d, a, b) in again:
+        assert any(r.doc_id == d and r.start < b and a < r.end for r in found)
+    assert all(r.doc_id != 5 for r in found)
+    kept = {r.doc_id: r.text for r in paragraphs.without_repeats(documents(spark, given)).collect()}
+    assert kept[1] == inside and len(kept[2].split()) < 30 and licence in kept[3] and licence not in kept[4]

@@ -1,26 +1,50 @@
-"""Substring dedup: near-equal paragraphs, found by MinHash banding and removed but for one.
+"""Substring dedup: near-equal paragraphs and repeated blocks of words, removed but for one.
 
-A paragraph is a line of at least LEAST_WORDS words. Ten bands of one permutation each (its
+A paragraph is a line of at least LEAST_WORDS words; they are found by MinHash banding. Ten bands of one permutation each (its
 minimum and maximum) miss a pair of similarity 0.8 about once in 30,000 and are cheap where, as
 here, unrelated paragraphs share next to no run of five words. Colliding paragraphs are confirmed
 by exact Jaccard similarity of 0.8 on runs of five words, and joined into components. Of each
 component the paragraph of the smallest (doc_id, place) stays. Documents with a null doc_id take
 no part; a null text has no paragraphs; rows of one doc_id are judged by their texts.
+
+Blocks take no notice of lines. Anchors are the least of any ANCHOR_WINDOW neighbouring runs of
+ANCHOR_WORDS words, by hash; a block reaches from an anchor to the first one at least BLOCK_WORDS words
+on. Equal passages have equal anchors but near their ends, so every passage of 50 words that occurs
+again has an equal block in both places. Blocks are compared by 64-bit hashes of their lower-cased
+words, and those that follow one another in both texts are joined.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import columns_of, map_arrow, small_batches, table, written
+from .common import BASE, INVERSE, columns_of, map_arrow, mix64, power, small_batches, table, written
 from .graph import join_hot
 from .minhash import grouped
 
-LEAST_WORDS = 20
 WORDS = 5
+LEAST_WORDS = WORDS
 BANDS = 10
+ANCHOR_WORDS, ANCHOR_WINDOW, BLOCK_WORDS = 3, 10, 8
+_WORD = re.compile(r"\S+")
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word.lower())
+        return value
+
+
+_hashes = _Hashes()
 
 
 def cut(text: str) -> list[tuple[int, int]]:
@@ -60,9 +84,59 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "start", "end", F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.start").alias("cluster_start"), ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).alias("removed"))
 
 
+def blocks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the blocks of a text, in code points."""
+    none = np.zeros(0, np.int64)
+    words = [m.span() for m in _WORD.finditer(text)]
+    n = len(words)
+    if n < ANCHOR_WORDS + ANCHOR_WINDOW - 1:
+        return none, none, none
+    h = np.array([_hashes[text[a:b]] for a, b in words], np.uint64)
+    runs = mix64(h[: n - 2] * np.uint64(9) + h[1 : n - 1] * np.uint64(3) + h[2:])
+    seen = np.lib.stride_tricks.sliding_window_view(runs, ANCHOR_WINDOW)
+    anchors = np.unique(np.arange(len(seen)) + ANCHOR_WINDOW - 1 - seen[:, ::-1].argmin(axis=1))
+    to = np.searchsorted(anchors, anchors + BLOCK_WORDS)
+    has = to < len(anchors)
+    first, after = anchors[has], anchors[to[has]]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(h * power(BASE, n), out=sums[1:])
+    keys = mix64((sums[after] - sums[first]) * power(INVERSE, n + 1)[first] + (after - first).astype(np.uint64))
+    spans = np.array(words, np.int64)
+    return spans[first, 0], spans[after - 1, 1], keys.view(np.int64)
+
+
+def repeated_blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, end, cluster_doc_id, cluster_start, removed): runs of blocks that stand elsewhere too, and where first."""
+    small_batches(docs.sparkSession)
+
+    def per_batch(batch):
+        ids, parts = [], []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            got = blocks(text or "")
+            ids.append(np.full(len(got[0]), doc_id, np.int64))
+            parts.append(got)
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return [join(ids), *(join([p[i] for p in parts]) for i in range(3))]
+
+    placed = written(map_arrow(columns_of(docs, ["doc_id", "text"]).where("doc_id is not null"), per_batch, "doc_id long, start long, end long, block long"), "blocks")
+    sizes = placed.groupBy("block").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "start")).alias("first")).where("size > 1").drop("size")
+    found = join_hot(placed, sizes, "block", ["first"]).where("first is not null")
+    found = found.select("doc_id", "start", "end", F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.start").alias("cluster_start"), (F.col("first.start") - F.col("start")).alias("shift")).distinct()
+    order = W.partitionBy("doc_id", "cluster_doc_id", "shift").orderBy("start", "end")  # at most the blocks of one document
+    new = F.when(F.col("start") > F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), 1).otherwise(0)
+    runs = found.withColumn("new", new).withColumn("run", F.sum("new").over(order))
+    runs = runs.groupBy("doc_id", "cluster_doc_id", "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("cluster_start").alias("cluster_start"))
+    return runs.select("doc_id", "start", "end", "cluster_doc_id", "cluster_start", ((F.col("doc_id") != F.col("cluster_doc_id")) | (F.col("shift") != 0)).alias("removed"))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """Repeated paragraphs and, besides, repeated blocks."""
+    return repeated_paragraphs(docs).unionByName(repeated_blocks(docs))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the removed paragraphs (and one line break after each) cut out of `text`; no row goes."""
-    cuts = repeated_paragraphs(docs).where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.array("start", "end"))).alias("_cuts"))  # at most the lines of one document
+    """docs with the removed paragraphs and blocks (and one character after each) cut out of `text`; no row goes."""
+    cuts = repeats(docs).where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.array("start", "end"))).alias("_cuts"))  # at most the lines and blocks of one document
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -76,9 +150,9 @@ def _without(text: str, spans) -> str:
     out, at = [], 0
     for a, b in spans:
         out.append(text[at:a])
-        at = min(b + 1, len(text))
+        at = max(at, min(b + 1, len(text)))
     return "".join([*out, text[at:]])
 
 
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return repeats(table(spark, sf_dir, "documents"))
