@@ -303,3 +303,13 @@ def test_samples_round_trip(spark):
     by = collections.Counter((r.doc_id, r["sample"]) for r in encoded.collect())
     assert by[(5, 1)] == 1 and by[(5, 2)] == 0 and by[(2, 1)] == 2 and by[(4, 3)] == 1
     assert lattice.encode_samples(documents(spark, []), MODEL).collect() == []
+
+
+def test_short_random_values_are_secrets_and_long_words_are_not():
+    for value in ("xK9mQ2pL", "qZ7$kP2w", "aG7tR2vQ9"):
+        assert secrets.told(secrets.spans(f"password: {value} x")[1]) == f"guess:10:{10 + len(value)}"
+    for word in ("undefined", "misconfiguration", "Authorization", "authentication", "placeholder", "internationalization"):
+        assert secrets.spans(f"auth: {word} x")[1] == [] and secrets.redacted(f"auth: {word}") == f"auth: {word}"
+    random.seed(8)
+    drawn = ["".join(random.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=8)) for _ in range(2000)]
+    assert sum(secrets.guess_bits(v) >= secrets.GUESS_BITS for v in drawn) > 0.9 * len(drawn)

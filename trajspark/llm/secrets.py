@@ -3,13 +3,16 @@
 Base kinds are `assign`, `access` and `hex`: leftmost non-overlapping matches, those too short
 dropped after matching. The kind `guess` is the value of a wider credential context that no base
 span covers and whose cheapest segmentation into dictionary words, dates, repeats, keyboard walks
-and brute-force characters costs GUESS_BITS or more. Spans are in code points, end exclusive.
+and brute-force characters costs GUESS_BITS or more. A brute-force character costs its alphabet: the
+character classes (lower, upper, digits, marks) that the value uses. The dictionary is a short list of
+words people choose and, after them, the letter pieces of a public tokenizer's vocabulary by rank. Spans are in code points, end exclusive.
 Null text counts as empty and has no spans; rows are scored one by one, so repeats change nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from functools import lru_cache
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import columns_of, map_arrow, small_batches, table, texts
 
 KINDS = ("assign", "access", "hex", "guess")
-GUESS_BITS = 40.0
+GUESS_BITS = 36.0
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A maximal run of hex digits of 16 or more is the same as a run of any length kept if 16 or longer.
@@ -32,7 +35,6 @@ _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
 # Words people choose, most common first.
 _COMMON = "password admin welcome letmein monkey dragon master login hello secret love sun summer winter spring autumn princess shadow qwerty football baseball soccer hunter batman superman killer pepper ginger cookie cheese coffee orange banana purple yellow silver golden diamond flower tiger lion eagle wolf horse summer london paris berlin madrid america freedom liberty family mother father sister brother john david michael daniel robert thomas maria anna test user guest root server change default temp pass word key token home house computer internet office company money lucky magic star moon light night day monday friday sunday january march april may june july august october november december".split()
 _RANK = {w: i + 1 for i, w in reversed(list(enumerate(_COMMON)))}
-_LONGEST = max(map(len, _RANK))
 _LEET = str.maketrans("013457@$!", "oleastasi")
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 
@@ -56,13 +58,44 @@ _DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|
 _DATE_LONGEST = 10
 
 
-def _brute(ch: str) -> float:
-    return math.log2(10 if ch.isdigit() else 26 if ch.isalpha() and ch.isascii() else 33 if ch.isascii() else 100)
+@lru_cache(1)
+def _pieces() -> dict[str, int]:
+    """Ranks of lower-case pieces of three letters or more, after the words of _RANK."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    ranks = dict(_RANK)
+    for piece, i in sorted(vocabulary.items(), key=lambda x: x[1]):
+        word = re.sub("^(?:##|\u0120|\u2581)|</w>$", "", piece).lower()
+        if len(word) >= 3 and word.isalpha():
+            ranks.setdefault(word, len(_RANK) + 1 + i)
+    return ranks
+
+
+_PIECE_LONGEST = 20
+
+
+def _classes(value: str) -> int:
+    """Size of the alphabet of the character classes that a value uses."""
+    plain = [c for c in value if c.isascii()]
+    return 26 * any(c.islower() for c in plain) + 26 * any(c.isupper() for c in plain) + 10 * any(c.isdigit() for c in plain) + 33 * any(not c.isalnum() for c in plain)
+
+
+def _brute(ch: str, alphabet: int = 95) -> float:
+    return math.log2(alphabet if ch.isascii() else alphabet + 100)
+
+
+def _case_bits(raw: str) -> float:
+    """Bits of which letters of a word are capitals: none for lower case, one for a capital first or all."""
+    return 0.0 if raw == raw.lower() else 1.0 if raw in (raw.upper(), raw.capitalize()) else float(len(raw))
 
 
 @lru_cache(20_000)
 def guess_bits(value: str) -> float:
     """log2 of the guesses of the cheapest segmentation, by dynamic programming over end positions."""
+    alphabet, ranks = _classes(value), _pieces()
+    shortest = 3 if value.isalpha() else 4  # three letters of a random value are a piece too often
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
@@ -72,11 +105,11 @@ def guess_bits(value: str) -> float:
         walk[i] = walk[i - 1] + 1 if low[i] in _NEAR.get(low[i - 1], ()) else 1
         same[i] = same[i - 1] + 1 if value[i] == value[i - 1] else 1
     for end in range(1, n + 1):
-        cost = best[end - 1] + _brute(value[end - 1])
-        for start in range(max(0, end - _LONGEST), end - 2):
-            if rank := _RANK.get(plain[start:end]):
-                raw = value[start:end]
-                extra = (raw != raw.lower()) + (low[start:end] != plain[start:end]) * 2
+        cost = best[end - 1] + _brute(value[end - 1], alphabet)
+        for start in range(max(0, end - _PIECE_LONGEST), end - 2):
+            rank = _RANK.get(plain[start:end]) or (ranks.get(plain[start:end]) if end - start >= shortest else None)
+            if rank:
+                extra = _case_bits(value[start:end]) + (low[start:end] != plain[start:end]) * 2
                 cost = min(cost, best[start] + math.log2(rank + 1) + 1 + extra)
         for start in range(max(0, end - _DATE_LONGEST), end - 3):
             if _DATE.fullmatch(value, start, end):
@@ -84,14 +117,14 @@ def guess_bits(value: str) -> float:
         for length in {3, walk[end - 1]} if walk[end - 1] >= 3 else ():
             cost = min(cost, best[end - length] + math.log2(47 * length) + 0.5 * (length - 1))
         for length in {2, same[end - 1]} if same[end - 1] >= 2 else ():
-            cost = min(cost, best[end - length] + _brute(value[end - 1]) + math.log2(length))
+            cost = min(cost, best[end - length] + _brute(value[end - 1], alphabet) + math.log2(length))
         for unit in range(2, min(end // 2, 16) + 1):  # a unit that occurs twice or more, back to back
             block, times = value[end - unit : end], 1
             while value[end - unit * (times + 1) : end - unit * times] == block and end >= unit * (times + 1):
                 times += 1
             if times > 1:
                 start = end - unit * times
-                cost = min(cost, best[start] + sum(map(_brute, block)) + math.log2(times + 1))
+                cost = min(cost, best[start] + sum(_brute(c, alphabet) for c in block) + math.log2(times + 1))
         best[end] = cost
     return best[n]
 
