@@ -79,3 +79,18 @@ def test_block_tables_find_all(spark):
 def test_simhash_column(spark):
     got = simhash.simhash(documents(spark, ODD), out="f2").collect()
     assert len(got) == len(ODD) and {r.f2 for r in got if not r.text} == {"0" * (simhash.BITS // 4)}
+
+
+def test_op1_searches_all_documents(spark, tmp_path):
+    words = [f"word{i}" for i in range(3000)]
+    near = list(words)
+    near[1500] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "something else altogether"), (4, "copied text"), (5, "copied text"), (6, None)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in simhash.op1_simhash(spark, str(tmp_path)).collect()}
+    marks = {i: np.frombuffer(bytes.fromhex(r.fingerprint), np.uint8) for i, r in got.items()}
+    for i, r in got.items():
+        others = {o.fingerprint: int(np.bitwise_count(marks[i] ^ marks[j]).sum()) for j, o in got.items() if j != i}
+        within = {p: d for p, d in others.items() if d <= simhash.RADIUS}
+        assert r.n_near == len([p for p in within if p != r.fingerprint]) and r.nearest == min(within.values(), default=None)
+    assert got[1].n_near == 1 and got[4].nearest == 0 and got[3].nearest is None

@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, dealt, mix64, record, shuffle_partitions, small_batches, table, texts
+from .common import columns_of, dealt, mix64, record, shuffle_partitions, small_batches, table, texts, written
+from .graph import join_hot
 
 BITS = 256
 RADIUS = 7
@@ -207,5 +208,18 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     return with_neighbour(docs).mapInArrow(run, EDITED)
 
 
+def with_nearest(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """rows with `n_near`, the number of other distinct fingerprints within the radius, and `nearest`, the least distance.
+
+    A fingerprint that another row has too has a nearest distance of 0; without any neighbour it is null.
+    """
+    rows = written(rows, "prints")
+    prints = rows.groupBy("fingerprint").agg(F.count("*").alias("rows"))
+    found = near_fingerprints(prints, prints, radius).groupBy(F.col("query").alias("_of")).agg(F.count("*").alias("n_near"), F.min("distance").alias("least"))
+    nearest = F.when(F.col("rows") > 1, F.lit(0)).otherwise(F.col("least")).cast("int")
+    told = prints.join(found, F.col("fingerprint") == F.col("_of"), "left").select("fingerprint", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), nearest.alias("nearest"))
+    return join_hot(rows, written(told, "nearest"), "fingerprint", ["n_near", "nearest"])
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_likeness(table(spark, sf_dir, "documents"))
+    return with_nearest(edit_likeness(table(spark, sf_dir, "documents")))
