@@ -47,8 +47,8 @@ def test_fingerprint_is_the_vote():
     text = "The quick brown fox, the lazy dog " * 3
     words = text.lower().split()
     h = [simhash._hashes[w] for w in words]
-    terms = [(x, 1) for x in h] + [(int(simhash.mix64(np.array([a], np.uint64) * np.uint64(3) + np.uint64(b))[0]), 2) for a, b in zip(h, h[1:])]
-    terms += [(simhash.xxhash.xxh64_intdigest(text[i : i + 4], 1), 1) for i in range(len(text) - 3)]
+    terms = [(x, 256) for x in h] + [(int(simhash.mix64(np.array([a], np.uint64) * np.uint64(3) + np.uint64(b))[0]), 512) for a, b in zip(h, h[1:])]
+    terms += [(simhash.xxhash.xxh64_intdigest(text[i : i + 4], 1), 256 - len(text)) for i in range(len(text) - 3)]
     votes = np.zeros(simhash.BITS)
     for x, w in terms:
         bits = np.concatenate([np.unpackbits(simhash.mix64(np.array([np.uint64(x) ^ s], np.uint64)).view(np.uint8)) for s in simhash._SALTS])
@@ -85,12 +85,32 @@ def test_op1_searches_all_documents(spark, tmp_path):
     words = [f"word{i}" for i in range(3000)]
     near = list(words)
     near[1500] = "changed"
-    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "something else altogether"), (4, "copied text"), (5, "copied text"), (6, None)]
+    rows = [(100, " ".join(words)), (2, " ".join(near)), (300, "something else altogether"), (400, "copied text"), (5, "copied text"), (600, None), (None, "no id")]
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in simhash.op1_simhash(spark, str(tmp_path)).collect()}
     marks = {i: np.frombuffer(bytes.fromhex(r.fingerprint), np.uint8) for i, r in got.items()}
-    for i, r in got.items():
+    assert all(got[i].n_near is None and got[i].nearest is None for i in (2, 5, None))
+    for i, r in ((i, r) for i, r in got.items() if i in (100, 300, 400, 600)):
         others = {o.fingerprint: int(np.bitwise_count(marks[i] ^ marks[j]).sum()) for j, o in got.items() if j != i}
         within = {p: d for p, d in others.items() if d <= simhash.RADIUS}
         assert r.n_near == len([p for p in within if p != r.fingerprint]) and r.nearest == min(within.values(), default=None)
-    assert got[1].n_near == 1 and got[4].nearest == 0 and got[3].nearest is None
+    assert got[100].n_near == 1 and got[400].nearest == 0 and got[300].nearest is None
+
+
+def test_likeness_is_steady_as_a_text_grows():
+    """4-grams fade out: a few more characters change no more at one length than at another."""
+    random.seed(5)
+    text = " ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(60))
+    near = [float(simhash.likeness(*(simhash.fingerprints([text[:n]]) for n in (n, n + 4)))[0]) for n in range(200, 300, 4)]
+    assert min(near) > 0.85
+
+
+def test_near_edited_and_near_next_by_brute_force(spark):
+    rows = [(i, f"{w} " * 40) for i, w in enumerate(("alpha beta", "gamma delta", "alpha beta", "eps zeta eta"))]
+    got = {r.doc_id: r for r in simhash.edit_likeness(documents(spark, rows)).collect()}
+    texts = dict(rows)
+    bits = lambda t: np.unpackbits(simhash.fingerprints([t])[0])
+    for i, t in rows:
+        after = texts[(i - 1) % 4]
+        changed = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        assert got[i].near_edited == (bits(t) == bits(changed)).mean() and got[i].near_next == (bits(t) == bits(after)).mean()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that crosses to Python; texts reach 100 KB, so few rows bound memory.
+#: Rows that a kernel works on at a time; texts reach 100 KB, so few rows bound memory, whatever the session's Arrow batches are.
 BATCH_ROWS = 256
 
 
@@ -19,8 +19,10 @@ def session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,13 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a folder of its own only where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context_dir.isDefined():
             found = context_dir.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             found = f"file://{tempfile.mkdtemp(prefix='trajspark-')}"
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -91,7 +95,7 @@ def map_arrow(df: DataFrame, per_batch, schema: str) -> DataFrame:
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield record(out, per_batch(batch))
 
     return df.mapInArrow(run, schema)

@@ -13,12 +13,13 @@ order of value, so the k best come out exactly, distinct, in order, and only k p
 inclusion score of a sample is log(1 - exp(-exp(log p - t))), t being the value of the next.
 
 Random numbers come from a hash of the row key and the place, so a row has the same samples wherever
-it runs. Null text counts as empty; an empty text has one segmentation, the empty one. A text with
+it runs. Samples decode to the text they are of, but that a mark in the text comes back as a blank. Null text counts as empty; an empty text has one segmentation, the empty one. A text with
 fewer than k segmentations gives them all. Rows of one key and text give equal samples.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -27,7 +28,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import columns_of, map_arrow, mix64, small_batches, table, texts
+from .common import columns_of, map_arrow, mix64, table, texts
 
 SAMPLES = 2
 _UNIT = re.compile("▁+[^▁\n]*|\n|[^▁\n]+")
@@ -51,6 +52,9 @@ class Vocabulary:
         if any(re.search("[^▁]▁|.\n|\n.", p) for p in pieces):
             raise ValueError("a piece crosses the bounds of units")
         self.bytes = {int(self.model.id_to_piece(i)[3:5], 16): i for i in range(n) if self.model.is_byte(i)}
+        self.spelling = [b"" if self.model.is_control(i) or self.model.is_unused(i) else self.model.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
+        for b, i in self.bytes.items():
+            self.spelling[i] = bytes([b])
         rank = np.argsort(np.argsort([-self.model.get_score(i) for i in normal], kind="stable"))
         self.byte_weight = -math.log(1.0 + len(normal))
         self.of_size = {}
@@ -64,6 +68,11 @@ class Vocabulary:
             self.of_size[size] = hashes[order], np.array(normal)[own][order], -np.log1p(rank[own][order].astype(float)), seen
 
 
+    def decoded(self, ids: list[int]) -> bytes:
+        """What ids spell, in UTF-8, without the leading mark."""
+        return b"".join(map(self.spelling.__getitem__, ids)).removeprefix(b" ")
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
@@ -76,6 +85,14 @@ def _hash(points: np.ndarray) -> np.uint64:
     return h
 
 
+class _Units(dict):
+    """Numbers of units in order of their first sight."""
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self)
+        return number
+
+
 class Lattices:
     """Backward sums and piece probabilities of units, met so far, as one graph of numbered nodes."""
 
@@ -84,7 +101,8 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.unit: dict[str, int] = {}
+        self.unit = _Units()
+        self.start = np.zeros(0, np.int64)  # the first node of each unit
         self.nodes = self.edges = self.guides = 0
         self.passing: list[str] = []
         # Arrays with room to grow. Edges of node i: first[i] to first[i + 1]. rank numbers the nodes that have edges;
@@ -107,16 +125,17 @@ class Lattices:
                 del self.unit[u]
             self.nodes, self.edges, self.guides = self.lasting
             self.passing = []
-        found = list(map(self.unit.get, units))
-        if None in found:
-            new = list({u for u, n in zip(units, found) if n is None})
+        known = len(self.unit)
+        numbers = np.fromiter(map(self.unit.__getitem__, units), np.int64, len(units))
+        if len(self.unit) > known:
+            new = list(itertools.islice(self.unit, known, None))
             if self.edges > _MOST_EDGES:
                 self.lasting, self.passing = (self.nodes, self.edges, self.guides), new
-            self._add(new)
-            found = [self.unit[u] if n is None else n for u, n in zip(units, found)]
-        return np.array(found, np.int64)
+            self._append("start", known, self._add(new))
+        return self.start[numbers]
 
-    def _add(self, units: list[str]) -> None:
+    def _add(self, units: list[str]) -> np.ndarray:
+        """The first nodes of new units."""
         v = self.vocabulary
         sizes = np.array([len(u) for u in units])
         points = _points("".join(units))
@@ -190,8 +209,7 @@ class Lattices:
         for name, values in (("target", target + base), ("source", source + base), ("piece", piece), ("log_p", log_p), ("upto", inside)):
             self._append(name, edges, values)
         self.nodes, self.edges, self.guides = base + len(count), edges + len(own), self.guides + len(guide)
-        firsts = base + np.cumsum(sizes + 1) - (sizes + 1)
-        self.unit.update(zip(units, firsts.tolist()))
+        return base + np.cumsum(sizes + 1) - (sizes + 1)
 
     def walk(self, node: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(walker, step, edge) of walks from the nodes to the ends of their units, in order."""
@@ -217,12 +235,16 @@ class Lattices:
         return w[order], s[order], e[order]
 
 
-def uniforms(*parts) -> np.ndarray:
-    """Numbers in (0, 1) from a hash of integers."""
-    h = np.uint64(0x243F6A8885A308D3)
+def chained(*parts, h=np.uint64(0x243F6A8885A308D3)) -> np.ndarray:
+    """Hashes of integers, one part after another; h: those of parts before."""
     for p in parts:
         h = mix64(np.asarray(h ^ (np.asarray(p).astype(np.uint64) * _BASE)).reshape(-1))
-    return ((h >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+    return h
+
+
+def uniforms(*parts, **before) -> np.ndarray:
+    """Numbers in (0, 1) from a hash of integers."""
+    return ((chained(*parts, **before) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
 
 
 def truncated(location: np.ndarray, u: np.ndarray, most: float) -> np.ndarray:
@@ -247,6 +269,7 @@ def samples(lattices: Lattices, batch: list[str], keys: list[int], k: int) -> li
     queues = [[_Subset(float(g), np.zeros(0, np.int64), 0.0, 0, int(s[0]), frozenset())] if len(s) else [] for g, s in zip(first_value, starts)]
     results: list[list[tuple]] = [[] for _ in batch]
     for rank in range(k):
+        walking, closing = chained(seeds, 3 + rank), chained(seeds, 1000 + rank)
         opened = []
         for d, queue in enumerate(queues):
             if queue:
@@ -272,14 +295,15 @@ def samples(lattices: Lattices, batch: list[str], keys: list[int], k: int) -> li
             owners.append(np.full(len(own), d))
         number = np.concatenate([np.arange(len(x)) for x in nodes])
         flat, owner = np.concatenate(nodes), np.concatenate(owners)
-        walker, _, edge = lattices.walk(flat, lambda w, step: uniforms(seeds[owner[w]], 3 + rank, number[w], step))
+        walks = chained(number, h=walking[owner])
+        walker, _, edge = lattices.walk(flat, lambda w, step: uniforms(step, h=walks[w]))
         bounds = np.searchsorted(owner[walker], np.arange(len(batch) + 1))
+        edge_p, edge_unit = lattices.log_p[edge], number[walker]
         for (d, subset), taken in zip(opened, entries):
-            tail = edge[bounds[d] : bounds[d + 1]]
-            unit = number[walker[bounds[d] : bounds[d + 1]]] + subset.unit
+            own = slice(bounds[d], bounds[d + 1])
+            tail, unit, log_p = edge[own], edge_unit[own] + subset.unit, edge_p[own]
             if taken >= 0:
-                tail, unit = np.concatenate([[taken], tail]), np.concatenate([[subset.unit], unit])
-            log_p = lattices.log_p[tail]
+                tail, unit, log_p = (np.concatenate([[x], y]) for x, y in ((taken, tail), (subset.unit, unit), (lattices.log_p[taken], log_p)))
             before = subset.before + np.cumsum(log_p) - log_p
             results[d].append((np.concatenate([subset.prefix, tail]), subset.before + float(log_p.sum()), subset.value))
             if not len(tail):
@@ -297,7 +321,7 @@ def samples(lattices: Lattices, batch: list[str], keys: list[int], k: int) -> li
                 left[lattices.first[node + 1] - lattices.first[node] == 1] = 0.0
                 part, left = part[left > 1e-15], left[left > 1e-15]
                 places = np.concatenate([places, part])
-                values = np.concatenate([values, truncated(before[part] + np.log(left), uniforms(seeds[d], 1000 + rank, part), subset.value)])
+                values = np.concatenate([values, truncated(before[part] + np.log(left), uniforms(part, h=closing[d]), subset.value)])
                 # A value is at most its location + _MOST_GUMBEL and locations fall along the path, so places
                 # further on than this can't be among the k + 1 best.
                 bound = np.partition(values, len(values) - k - 1)[-k - 1] - _MOST_GUMBEL if len(values) > k else -np.inf
@@ -327,12 +351,17 @@ def _log_inclusion(x: float) -> float:
 def ids_of(lattices: Lattices, edges: np.ndarray) -> np.ndarray:
     """Piece ids of a path, characters without a piece as their bytes."""
     piece = lattices.piece[edges]
-    if (piece >= 0).all():
+    rest = np.flatnonzero(piece < 0)
+    if not len(rest):
         return piece
-    out: list[int] = []
-    for p in piece.tolist():
-        out += [p] if p >= 0 else [lattices.vocabulary.bytes[b] for b in chr(-p - 1).encode()]
-    return np.array(out, np.int64)
+    of = lattices.vocabulary.bytes
+    spelt = [[of[b] for b in chr(-p - 1).encode()] for p in piece[rest].tolist()]
+    sizes = np.ones(len(piece), np.int64)
+    sizes[rest] = [len(x) for x in spelt]
+    out = np.repeat(piece, sizes)
+    at = (np.cumsum(sizes) - sizes)[rest]
+    out[np.repeat(at - np.cumsum(sizes[rest]) + sizes[rest], sizes[rest]) + np.arange(int(sizes[rest].sum()))] = list(itertools.chain.from_iterable(spelt))
+    return out
 
 
 _known: dict[str, Lattices] = {}
@@ -349,14 +378,13 @@ def row_key(doc_id, seed: int) -> int:
 
 
 def _sampled(docs: DataFrame, model: str, k: int, seed: int, rendered, schema: str) -> DataFrame:
-    small_batches(docs.sparkSession)
-
     def per_batch(batch):
         lattices = lattices_of(model)
         doc_ids = batch.column("doc_id").to_pylist()
         rows = []
-        for doc_id, found in zip(doc_ids, samples(lattices, texts(batch.column("text")), [row_key(i, seed) for i in doc_ids], k)):
-            rows += [(doc_id, r + 1, *rendered(ids_of(lattices, e)), p, g, x) for r, (e, p, g, x) in enumerate(found)]
+        body = texts(batch.column("text"))
+        for doc_id, text, found in zip(doc_ids, body, samples(lattices, body, [row_key(i, seed) for i in doc_ids], k)):
+            rows += [(doc_id, r + 1, *rendered(ids_of(lattices, e), text), p, g, x) for r, (e, p, g, x) in enumerate(found)]
         return list(zip(*rows)) if rows else [[] for _ in schema.split(",")]
 
     return map_arrow(columns_of(docs, ["doc_id", "text"]), per_batch, schema)
@@ -364,22 +392,26 @@ def _sampled(docs: DataFrame, model: str, k: int, seed: int, rendered, schema: s
 
 def encode_samples(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = 0) -> DataFrame:
     """(doc_id, sample, ids, log_p, value, log_inclusion) of each document's k sampled segmentations."""
-    return _sampled(docs, model, k, seed, lambda ids: (ids.tolist(),), "doc_id long, sample int, ids array<int>, log_p double, value double, log_inclusion double")
+    return _sampled(docs, model, k, seed, lambda ids, text: (ids.tolist(),), "doc_id long, sample int, ids array<int>, log_p double, value double, log_inclusion double")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """encoded (doc_id, sample, ids) with the text of the ids."""
 
     def per_batch(batch):
-        processor = lattices_of(model).vocabulary.model
-        return [batch.column("doc_id"), batch.column("sample"), processor.decode(batch.column("ids").to_pylist())]
+        vocabulary = lattices_of(model).vocabulary
+        return [batch.column("doc_id"), batch.column("sample"), [vocabulary.decoded(ids).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]]
 
     return map_arrow(columns_of(encoded, ["doc_id", "sample", "ids"]), per_batch, "doc_id long, sample int, text string")
 
 
 def op4_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's samples, their ids as a count and a CRC-32 of little-endian 32-bit numbers."""
+    """Every document's samples: their ids as a count and a CRC-32 of little-endian 32-bit numbers, and whether they decode to its text."""
     import public_tokenizers
 
-    digest = lambda ids: (len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
-    return _sampled(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), SAMPLES, 0, digest, "doc_id long, sample int, n_pieces long, ids_crc32 long, log_p double, value double, log_inclusion double")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+
+    def digest(ids: np.ndarray, text: str) -> tuple:
+        return len(ids), zlib.crc32(ids.astype("<u4").tobytes()), lattices_of(model).vocabulary.decoded(ids.tolist()) == text.replace("▁", " ").encode()
+
+    return _sampled(table(spark, sf_dir, "documents"), model, SAMPLES, 0, digest, "doc_id long, sample int, n_pieces long, ids_crc32 long, round_trip boolean, log_p double, value double, log_inclusion double")

@@ -10,6 +10,7 @@ without words, or null, has an empty set and no links.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import columns_of, map_arrow, mix64, record, shuffle_partitions, small_batches, table, written
+from .common import columns_of, map_arrow, mix64, record, shuffle_partitions, sliced, table, written
 from .graph import components, join_hot
 
 #: Percent of the union that two sets must share.
@@ -53,6 +54,27 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+def shingle_sets(batch: list[str | None], k: int) -> list[np.ndarray]:
+    """shingles() of each text, all at once."""
+    words = [(t or "").encode().lower().split() for t in batch]
+    counts = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter(map(_hashes.__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(counts.sum()))
+    long = counts >= k
+    runs = np.where(long, counts - k + 1, 0)
+    owner = np.repeat(np.arange(len(batch)), runs)
+    at = np.arange(len(owner)) + np.repeat(np.cumsum(counts) - counts - np.cumsum(runs) + runs, runs)
+    out = np.full(len(at), k, np.uint64)
+    for i in range(k):
+        out = mix64(out * np.uint64(0xD6E8FEB86659FD93) + h[at + i])
+    order = np.lexsort((out, owner))
+    out = out[order]
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
+    cuts = np.cumsum(np.bincount(owner[new], minlength=len(batch)))
+    sets = np.split(out[new], cuts[:-1]) if len(batch) else []
+    return [s if own else shingles(t, k) for s, own, t in zip(sets, long, batch)]
+
+
 def signatures(sets: list[np.ndarray], permutations: int) -> np.ndarray:
     """(sets, permutations, 2): minimum and maximum of each permutation; all sets non-empty."""
     flat = np.concatenate(sets)
@@ -82,12 +104,11 @@ def signed(items: DataFrame, k: int, permutations: int, per_band: int) -> DataFr
     """(id, set size, digest of the set, band keys) of items (id, text), ids of any type; empty sets have no digest."""
 
     def per_batch(batch):
-        sets = [shingles(t, k) for t in batch.column("text").to_pylist()]
+        sets = shingle_sets(batch.column("text").to_pylist(), k)
         some = [s for s in sets if len(s)]
         keys = iter(band_keys(signatures(some, permutations), per_band).view(np.int64)) if some else iter(())
         return [batch.column("id"), [len(s) for s in sets], [xxhash.xxh128_hexdigest(s.tobytes()) if len(s) else None for s in sets], [next(keys) if len(s) else None for s in sets]]
 
-    small_batches(items.sparkSession)
     return map_arrow(items, per_batch, SIGNED.format(items.schema["id"].dataType.simpleString()))
 
 
@@ -159,7 +180,7 @@ def links_in(groups: DataFrame) -> DataFrame:
             kept = forest(len(every), found)
             return record(schema, [[every[a] for a, _ in kept], [every[b] for _, b in kept]]) if kept else None
 
-        for batch in batches:
+        for batch in sliced(batches):
             for g, side, node, cells in zip(*(batch.column(c).to_pylist() for c in ("g", "side", "node", "cells"))):
                 if g != now:
                     if got := out():
@@ -246,8 +267,8 @@ def grouped(items: DataFrame, k: int, permutations: int, per_band: int) -> tuple
 
     def of_wanted(batch):
         node, cluster, cells = [], [], []
-        for text, own, c, digest in zip(*(batch.column(x).to_pylist() for x in ("text", "node", "cluster", "digest"))):
-            held = shingles(text, k).tobytes()
+        for held, own, c, digest in zip(shingle_sets(batch.column("text").to_pylist(), k), *(batch.column(x).to_pylist() for x in ("node", "cluster", "digest"))):
+            held = held.tobytes()
             if xxhash.xxh128_hexdigest(held) == digest:
                 node.append(own)
                 cluster.append(c)
@@ -273,7 +294,6 @@ def near_groups(docs: DataFrame, k: int = 5, permutations: int = 64, per_band: i
 
     64 permutations in 32 bands of two miss a pair of similarity 0.8 about once in 10^7.
     """
-    small_batches(docs.sparkSession)
     items = columns_of(docs, ["doc_id", "text"]).withColumnRenamed("doc_id", "id")
     known = items.where("id is not null")
     rows, component = grouped(known, k, permutations, per_band)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import BASE, INVERSE, columns_of, map_arrow, mix64, power, record, shuffle_partitions, small_batches, table, texts, written
+from .common import BASE, INVERSE, columns_of, map_arrow, mix64, power, record, shuffle_partitions, sliced, table, texts, written
 
 WINDOW = 4096
 END = 2
@@ -293,7 +293,7 @@ def statistics(coded: DataFrame) -> tuple[int, float, np.ndarray]:
     """Number and mean length of all documents, and of how many each term is part."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, df = 0, 0, np.zeros(_TERMS, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for cell in batch.column("ids").to_pylist():
                 ids = np.frombuffer(cell, np.uint16)
                 df[np.unique(ids)] += 1
@@ -363,7 +363,6 @@ def bounds(keyed: DataFrame, n: int) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     """The pieces of all documents; an empty table gives none."""
     spark = docs.sparkSession
-    small_batches(spark)
     schema = to_arrow_schema(StructType.fromDDL(PIECES))
 
     def encode(batch):
@@ -401,7 +400,7 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
             for at in range(0, len(made), 10_000):
                 yield record(schema, list(zip(*made[at : at + 10_000])))
 
-        for batch in batches:
+        for batch in sliced(batches):
             for shard, doc_id, cells in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids"))):
                 if shard != now:
                     if held:

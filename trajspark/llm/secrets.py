@@ -20,7 +20,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import columns_of, map_arrow, small_batches, table, texts
+from .common import columns_of, map_arrow, table, texts
 
 KINDS = ("assign", "access", "hex", "guess")
 GUESS_BITS = 36.0
@@ -152,8 +152,6 @@ def told(found: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: counts by kind, digest of the base spans, and all spans."""
-    small_batches(docs.sparkSession)
-
     def per_batch(batch):
         rows = [spans(t) for t in texts(batch.column("text"))]
         count = lambda k: [sum(x[1] == k for x in base) for base, _ in rows]
@@ -181,8 +179,6 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with secrets in `text` replaced and `n_chars` recounted; no row goes."""
     from pyspark.sql import functions as F
 
-    small_batches(docs.sparkSession)
-
     @F.pandas_udf("string")
     def clean(column: pd.Series) -> pd.Series:
         return column.map(lambda t: t if t is None else redacted(t))

@@ -1,8 +1,9 @@
 """Document fingerprints: SimHash with weighted term votes, and permuted block tables for search.
 
-Terms are words (weight 1), pairs of neighbouring words (weight 2) and, for texts under
-256 code points, 4-grams of code points (weight 1). Each term's hash votes on every bit;
-a tied bit takes the bit of the text's smallest term hash. Null text counts as empty and an
+Terms are words (weight FULL), pairs of neighbouring words (twice that) and 4-grams of code points,
+whose weight falls from FULL to nothing as a text grows to FULL code points: where words are few,
+their letters tell more. Each term's hash votes on every bit; a tied bit takes the bit of the text's
+smallest word hash, or 4-gram hash without words. Null text counts as empty and an
 empty text has the all-zero fingerprint. Equal texts have equal fingerprints.
 """
 
@@ -18,12 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, dealt, mix64, record, shuffle_partitions, small_batches, table, texts, written
+from .common import columns_of, dealt, mix64, record, shuffle_partitions, sliced, table, texts, written
 from .graph import join_hot
 
 BITS = 256
 RADIUS = 7
-SHORT = 256
+FULL = 256
 _WORDS = BITS // 64
 _SALTS = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64) for i in range(_WORDS)]
 #: For each byte value, eight 8-bit lanes that hold its bits.
@@ -68,22 +69,23 @@ def _votes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def fingerprints(batch: list[str]) -> np.ndarray:
     """One row of BITS / 8 bytes for each text."""
+    none = np.zeros(0, np.uint64)
     ones, pairs, grams = [], [], []
     for text in batch:
         words = np.array(list(map(_hashes.__getitem__, text.lower().split())), np.uint64)
         ones.append(words)
         pairs.append(mix64(words[:-1] * np.uint64(3) + words[1:]))
-        if len(text) < SHORT:
-            ones[-1] = np.concatenate([words, np.array([xxhash.xxh64_intdigest(text[i : i + 4], 1) for i in range(max(0, len(text) - 3))], np.uint64)])
+        grams.append(np.array([xxhash.xxh64_intdigest(text[i : i + 4], 1) for i in range(len(text) - 3)], np.uint64) if 4 <= len(text) < FULL else none)
     size = lambda parts: np.array([len(p) for p in parts], np.int64)
-    n1, n2 = size(ones), size(pairs)
-    h1 = np.concatenate(ones) if ones else np.zeros(0, np.uint64)
-    h2 = np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
-    total = (n1 + 2 * n2)[:, None]
-    twice = 2 * (_votes(h1, n1) + 2 * _votes(h2, n2))
+    n1, n2, n4 = size(ones), size(pairs), size(grams)
+    h1, h2, h4 = (np.concatenate(x) if x else none for x in (ones, pairs, grams))
+    fading = np.array([max(0, FULL - len(t)) for t in batch], np.int64)
+    total = (FULL * (n1 + 2 * n2) + fading * n4)[:, None]
+    twice = 2 * (FULL * (_votes(h1, n1) + 2 * _votes(h2, n2)) + fading[:, None] * _votes(h4, n4))
     least = np.zeros(len(batch), np.uint64)
-    if len(h1):
-        least[n1 > 0] = np.minimum.reduceat(h1, (np.cumsum(n1) - n1)[n1 > 0])
+    for h, n in ((h4, n4), (h1, n1)):
+        if len(h):
+            least[n > 0] = np.minimum.reduceat(h, (np.cumsum(n) - n)[n > 0])
     tie = np.concatenate([np.unpackbits(mix64(least ^ s).view(np.uint8).reshape(-1, 8), axis=1) for s in _SALTS], axis=1).astype(bool)
     bits = (twice > total) | ((twice == total) & tie & (total > 0))
     return np.packbits(bits, axis=1)
@@ -182,7 +184,6 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    small_batches(docs.sparkSession)
     schema = to_arrow_schema(StructType.fromDDL(EDITED))
 
     def out(rows: list) -> pa.RecordBatch:
@@ -195,7 +196,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (bucket, doc_id, text, fingerprint) whose successor hasn't come
-        for batch in batches:
+        for batch in sliced(batches):
             got, body = [], texts(batch.column("text"))
             prints = fingerprints(body)
             for bucket, extra, doc_id, text, mark in zip(batch.column("bucket").to_pylist(), batch.column("extra").to_pylist(), batch.column("doc_id").to_pylist(), body, prints):
@@ -208,17 +209,25 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     return with_neighbour(docs).mapInArrow(run, EDITED)
 
 
-def with_nearest(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """rows with `n_near`, the number of other distinct fingerprints within the radius, and `nearest`, the least distance.
+#: A search takes as queries the documents whose doc_id this divides.
+QUERY_STEP = 100
 
-    A fingerprint that another row has too has a nearest distance of 0; without any neighbour it is null.
+
+def with_nearest(rows: DataFrame, radius: int = RADIUS, step: int = QUERY_STEP) -> DataFrame:
+    """rows with the search of all fingerprints for those of the rows whose doc_id `step` divides.
+
+    `n_near` is the number of other distinct fingerprints within the radius, and `nearest` the least distance:
+    0 for a fingerprint that another row has too, null without any neighbour. Rows that aren't queries have null in both.
     """
     rows = written(rows, "prints")
-    prints = rows.groupBy("fingerprint").agg(F.count("*").alias("rows"))
-    found = near_fingerprints(prints, prints, radius).groupBy(F.col("query").alias("_of")).agg(F.count("*").alias("n_near"), F.min("distance").alias("least"))
+    asked = F.col("doc_id") % step == 0
+    prints = written(rows.groupBy("fingerprint").agg(F.count("*").alias("rows"), F.coalesce(F.max(asked), F.lit(False)).alias("asked")), "distinct")
+    queries = prints.where("asked")
+    found = near_fingerprints(queries, prints, radius).groupBy(F.col("query").alias("_of")).agg(F.count("*").alias("n_near"), F.min("distance").alias("least"))
     nearest = F.when(F.col("rows") > 1, F.lit(0)).otherwise(F.col("least")).cast("int")
-    told = prints.join(found, F.col("fingerprint") == F.col("_of"), "left").select("fingerprint", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), nearest.alias("nearest"))
-    return join_hot(rows, written(told, "nearest"), "fingerprint", ["n_near", "nearest"])
+    told = queries.join(found, F.col("fingerprint") == F.col("_of"), "left").select("fingerprint", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), nearest.alias("nearest"))
+    others = rows.where(~F.coalesce(asked, F.lit(False))).select("*", F.lit(None).cast("long").alias("n_near"), F.lit(None).cast("int").alias("nearest"))
+    return join_hot(rows.where(asked), written(told, "nearest"), "fingerprint", ["n_near", "nearest"]).unionByName(others)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

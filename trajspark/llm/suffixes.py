@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import columns_of, dealt, mix64, record, shuffle_partitions, small_batches, table, written
+from .common import columns_of, dealt, mix64, record, shuffle_partitions, sliced, table, written
 
 LENGTH = 100
 GRAM = 32
@@ -190,7 +190,6 @@ BLOCKS = "rest binary, sizes binary, data binary"
 
 def blocks(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) as blocks of about BLOCK_BYTES: (block, rest, sizes, data), written."""
-    small_batches(docs.sparkSession, 64)
     schema = to_arrow_schema(StructType.fromDDL(BLOCKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +204,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                     stream.write_batch(x)
             return record(schema, [[zstandard.compress(sink.getvalue(), 3)], [np.array([len(b) for b in body], np.int64).tobytes()], [zstandard.compress(b"".join(body), 3)]])
 
-        for batch in batches:
+        for batch in sliced(batches, 64):
             others = batch.select([c for c in batch.schema.names if c != "text"])
             text = [(t or "").encode() for t in batch.column("text").to_pylist()]
             at = 0
@@ -448,7 +447,6 @@ def repeated(docs: DataFrame, rendered: Callable, schema: str) -> DataFrame:
     """For each block of docs, the rows that `rendered` makes of (its other columns, [(bytes, removed mask)])."""
     parts = shuffle_partitions(docs.sparkSession)
     packed = blocks(docs)
-    small_batches(docs.sparkSession, 4)  # rows are blocks now
     notes = _repeats(_contexts(packed, _twice(packed, parts), parts), parts)
 
     def per_block(row: dict, held: list[bytes]):

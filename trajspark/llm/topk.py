@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import columns_of, record, shuffle_partitions, small_batches, table
+from .common import columns_of, record, shuffle_partitions, sliced, table
 
 SCALE = 256.0
 LEVELS = (1, 4, 16)
@@ -118,7 +118,6 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     no pair of rows is ever made. Blocks of candidates are dealt over all tasks and every task
     gets the blocks of queries. Repeated query rows give repeated results.
     """
-    small_batches(queries.sparkSession, 2000)
     schema = to_arrow_schema(StructType.fromDDL(RESULT))
     q = packed(whole(queries), BLOCK // 2).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.monotonically_increasing_id().alias("q_block"))
     tasks = shuffle_partitions(queries.sparkSession)
@@ -127,7 +126,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     pairs = x.join(q, (x.task == q.task) & (F.col("dim") == F.col("q_dim"))).drop("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for row in batch.to_pylist():
                 a = lambda name, kind: np.frombuffer(row[name], kind)
                 q_ids, ids = a("q_ids", np.int64), a("ids", np.int64)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, map_arrow, small_batches, table, texts
+from .common import columns_of, map_arrow, table, texts
 
 #: Bound on the labelled rows that are learnt from; bound on the lexicon.
 SAMPLE = 20_000
@@ -140,7 +140,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> list[float]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """A lexicon from two thirds of the sampled rows, calibrated on the rest; collects only bounded rows."""
     spark = docs.sparkSession
-    small_batches(spark)
     small_lex = lambda base: Lexicon({}, {}, {}, [float(np.log(base / (1 - base))) if 0 < base < 1 else (30.0 if base else -30.0), 0.0, 0.0])
     known = columns_of(labels, ["doc_id", "toxic"]).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(crc("doc_id") != HELD_OUT)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()  # at most `sample` rows
@@ -199,8 +198,6 @@ def _crc(doc_id: int) -> int:
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
-    small_batches(docs.sparkSession)
-
     def per_batch(batch):
         return [batch.column("doc_id"), lexicon.scores(texts(batch.column("text")))]
 
@@ -210,8 +207,6 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The documents whose score is under the threshold, as they are."""
-    small_batches(docs.sparkSession)
-
     @F.pandas_udf("double")
     def toxic(column: pd.Series) -> pd.Series:
         return pd.Series(lexicon.scores([t or "" for t in column]))
