@@ -92,7 +92,7 @@ def test_shards_are_cut_by_content_under_the_statistics_of_all(spark, monkeypatc
     originals = [" ".join(rng.choice(vocabulary, 120)) for _ in range(150)]
     rows = [(i, t) for i, t in enumerate(originals)] + [(1000 + i, t + " tail") for i, t in enumerate(originals)]
     got = packing.pack(documents(spark, rows), PATH).collect()
-    shard = {r.doc_id: r.sequence_id >> 32 for r in got}
+    shard = {r.doc_id: r.sequence_id >> packing.SEQUENCE_BITS for r in got}
     assert set(shard) == {i for i, _ in rows} and len(set(shard.values())) > 6
     assert sum(shard[i] == shard[1000 + i] for i in range(150)) > 130  # 12 by chance
     coded = spark.createDataFrame([(bytes(np.array(d, np.uint16)),) for d in ([1, 1, 2], [2, 3], [2])], "ids binary").repartition(3)

@@ -3,8 +3,8 @@
 Document frequencies and the mean length are those of all documents. Documents are put in order of
 their content: by the informative term that is least in a random order weighted by idf, then by
 those of two more such orders, so that copies stand together and texts that share many terms often
-do. Shards of about SHARD_DOCS documents are cut from that order, wherever a group of one key ends;
-what shares all keys is split by a hash. Each shard has a BM25 inverted index of its token ids; a
+do; what shares all keys is in order of a hash of the document. Tasks get equal ranges of that order, bounded
+by rank, and cut shards of SHARD_DOCS documents from theirs. Each shard has a BM25 inverted index of its token ids; a
 window starts with a seed (an unused document, or the one that the last window cut), asks the index
 for the seed's unused neighbours and takes them, best first, until it is full. Documents without a
 common informative term follow in order of doc_id. What is left at a shard's end is cut into
@@ -21,18 +21,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import BASE, INVERSE, columns_of, map_arrow, mix64, power, record, shuffle_partitions, sliced, table, texts, written
+from .common import BASE, INVERSE, columns_of, dealt, map_arrow, mix64, power, record, shuffle_partitions, sliced, table, texts, written
 
 WINDOW = 4096
 END = 2
 SHARD_DOCS = 1200
+#: A sequence_id is the task's range, the shard in it and the sequence in that.
+SHARD_BITS, SEQUENCE_BITS = 19, 24
 K1, B = 1.2, 0.75
 #: A worker remembers half as many parts as its table has slots, about 80 MB in all.
 _SLOTS = 22
@@ -281,7 +282,7 @@ def pieces(shard: int, doc_ids: list, docs: list[np.ndarray], idf: np.ndarray |
         ids, start = docs[i].astype("<u4"), 0
         while start < len(ids):
             n = min(len(ids) - start, lengths[sequence] - offset)
-            out.append((doc_ids[i], start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), (shard << 32) + sequence, offset))
+            out.append((doc_ids[i], start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), (shard << SEQUENCE_BITS) + sequence, offset))
             start += n
             offset += n
             if offset == lengths[sequence]:
@@ -292,11 +293,13 @@ def pieces(shard: int, doc_ids: list, docs: list[np.ndarray], idf: np.ndarray |
 def statistics(coded: DataFrame) -> tuple[int, float, np.ndarray]:
     """Number and mean length of all documents, and of how many each term is part."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, df = 0, 0, np.zeros(_TERMS, np.int64)
+        n, total, df, last = 0, 0, np.zeros(_TERMS, np.int64), np.full(_TERMS, -1)
         for batch in sliced(batches):
             for cell in batch.column("ids").to_pylist():
                 ids = np.frombuffer(cell, np.uint16)
-                df[np.unique(ids)] += 1
+                new = ids[last[ids] != n]
+                last[new] = n
+                df[new] += 1  # once a term, however often it is there
                 n, total = n + 1, total + len(ids)
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *terms.tolist()], pa.int32()), pa.array([n, total, *df[terms].tolist()], pa.int64())], ["term", "n"])
@@ -342,21 +345,20 @@ def content_keys(docs: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray
     return key << _TIE_BITS
 
 
-def bounds(keyed: DataFrame, n: int) -> np.ndarray:
-    """The keys at which shards begin but for the first: of n rows, those of rank SHARD_DOCS, twice that and so on."""
-    spark = keyed.sparkSession
-    if n <= SHARD_DOCS:
+def bounds(keys: DataFrame, n: int, parts: int) -> np.ndarray:
+    """The keys at which `parts` ranges of n rows (key) begin but for the first, by rank; equal keys stay in one range."""
+    spark = keys.sparkSession
+    if parts <= 1:
         return np.zeros(0, np.int64)
-    shards = math.ceil(n / SHARD_DOCS)
-    size = math.ceil(n / shards)
-    ranked = keyed.select("key").repartitionByRange(shuffle_partitions(spark), "key").sortWithinPartitions("key").withColumn("at", F.monotonically_increasing_id())
+    size = math.ceil(n / parts)
+    ranked = keys.repartitionByRange(parts, "key").sortWithinPartitions("key").withColumn("at", F.monotonically_increasing_id())
     ranked = written(ranked.select("key", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at")), "ranks")
     before, total = [], 0
     for r in sorted(ranked.groupBy("part").count().collect()):  # a row a partition
         before.append((r["part"], total))
         total += r["count"]
     offsets = F.broadcast(spark.createDataFrame(before, "part int, before long"))
-    chosen = ranked.join(offsets, "part").where((F.col("at") + F.col("before") > 0) & ((F.col("at") + F.col("before")) % size == 0)).select("key").collect()  # a row a shard
+    chosen = ranked.join(offsets, "part").where((F.col("at") + F.col("before") > 0) & ((F.col("at") + F.col("before")) % size == 0)).select("key").collect()  # a row a range
     return np.unique(np.array([r.key for r in chosen], np.int64))
 
 
@@ -371,47 +373,46 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
         return [batch.column("doc_id"), [x + end for x in known.of(texts(batch.column("text")))]]
 
     coded = map_arrow(columns_of(docs, ["doc_id", "text"]), encode, "doc_id long, ids binary")
-    coded = written(coded.withColumn("tie", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << _TIE_BITS))), "ids")
+    coded = written(coded.withColumn("tie", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << _TIE_BITS))), "ids", "snappy")
     n, mean, df = statistics(coded)
     idf = idf_of(n, df)
     places = orders(idf)
 
-    @F.pandas_udf("long")
-    def content(ids: pd.Series) -> pd.Series:
-        return pd.Series(content_keys([np.frombuffer(x, np.uint16) for x in ids], places))
+    def keys_of(batch) -> np.ndarray:
+        docs_ = [np.frombuffer(x, np.uint16) for x in batch.column("ids").to_pylist()]
+        return content_keys(docs_, places) + batch.column("tie").to_numpy()
 
-    if n > SHARD_DOCS:
-        keyed = written(coded.select("doc_id", "ids", (content("ids") + F.col("tie")).alias("key")), "keys")
-        cuts = bounds(keyed, n)
+    cuts = bounds(map_arrow(coded.select("ids", "tie"), lambda b: [keys_of(b)], "key long"), n, min(math.ceil(n / SHARD_DOCS), shuffle_partitions(spark)))
 
-        @F.pandas_udf("int")
-        def shard_of(key: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="right").astype(np.int32))
+    def place(batch):
+        key = keys_of(batch)
+        return [np.searchsorted(cuts, key, side="right"), key, batch.column("doc_id"), batch.column("ids")]
 
-        placed, shards = keyed.select(shard_of("key").alias("shard"), "doc_id", "ids"), len(cuts) + 1
-    else:
-        placed, shards = coded.select(F.lit(0).alias("shard"), "doc_id", "ids"), 1
+    placed = dealt(map_arrow(coded, place, "part int, key long, doc_id long, ids binary"), len(cuts) + 1, "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, held = None, [], []
+        part, shard, ids, held = None, 0, [], []
 
-        def out():
-            made = pieces(now, ids, held, idf, mean)
+        def out(count: int):
+            made = pieces((part << SHARD_BITS) + shard, ids[:count], held[:count], idf, mean)
             for at in range(0, len(made), 10_000):
                 yield record(schema, list(zip(*made[at : at + 10_000])))
 
         for batch in sliced(batches):
-            for shard, doc_id, cells in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids"))):
-                if shard != now:
+            for own, doc_id, cells in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids"))):
+                if own != part:
                     if held:
-                        yield from out()
-                    now, ids, held = shard, [], []
+                        yield from out(len(held))
+                    part, shard, ids, held = own, 0, [], []
+                elif len(held) == 2 * SHARD_DOCS:  # the last shard of a range is its rest, with fewer than this
+                    yield from out(SHARD_DOCS)
+                    shard, ids, held = shard + 1, ids[SHARD_DOCS:], held[SHARD_DOCS:]
                 ids.append(doc_id)
                 held.append(np.frombuffer(cells, np.uint16))
         if held:
-            yield from out()
+            yield from out(len(held))
 
-    return placed.repartition(min(shards, shuffle_partitions(spark)), "shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(run, PIECES)
+    return placed.sortWithinPartitions("part", "key", "doc_id", "ids").select("part", "doc_id", "ids").mapInArrow(run, PIECES)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
