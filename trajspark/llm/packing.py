@@ -3,8 +3,8 @@
 Document frequencies and the mean length are those of all documents. Documents are put in order of
 their content: by the informative term that is least in a random order weighted by idf, then by
 those of two more such orders, so that copies stand together and texts that share many terms often
-do; what shares all keys is in order of a hash of the document. Tasks get equal ranges of that order, bounded
-by rank, and cut shards of SHARD_DOCS documents from theirs. Each shard has a BM25 inverted index of its token ids; a
+do; what shares all keys is in order of a hash of the document. Tasks get ranges of that order with
+equal numbers of ids, and cut shards of SHARD_DOCS documents, or SHARD_IDS ids, from theirs. Each shard has a BM25 inverted index of its token ids; a
 window starts with a seed (an unused document, or the one that the last window cut), asks the index
 for the seed's unused neighbours and takes them, best first, until it is full. Documents without a
 common informative term follow in order of doc_id. What is left at a shard's end is cut into
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -32,6 +33,8 @@ from .common import BASE, INVERSE, columns_of, dealt, map_arrow, mix64, power, r
 WINDOW = 4096
 END = 2
 SHARD_DOCS = 1200
+#: Ids that a shard holds at most, but for one document that has more.
+SHARD_IDS = 2_000_000
 #: A sequence_id is the task's range, the shard in it and the sequence in that.
 SHARD_BITS, SEQUENCE_BITS = 19, 24
 K1, B = 1.2, 0.75
@@ -345,21 +348,21 @@ def content_keys(docs: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray
     return key << _TIE_BITS
 
 
-def bounds(keys: DataFrame, n: int, parts: int) -> np.ndarray:
-    """The keys at which `parts` ranges of n rows (key) begin but for the first, by rank; equal keys stay in one range."""
+def bounds(keys: DataFrame, total: int, parts: int) -> np.ndarray:
+    """The keys at which `parts` ranges of rows (key, size) of `total` size begin but for the first; equal keys stay in one range."""
     spark = keys.sparkSession
     if parts <= 1:
         return np.zeros(0, np.int64)
-    size = math.ceil(n / parts)
-    ranked = keys.repartitionByRange(parts, "key").sortWithinPartitions("key").withColumn("at", F.monotonically_increasing_id())
-    ranked = written(ranked.select("key", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at")), "ranks")
-    before, total = [], 0
-    for r in sorted(ranked.groupBy("part").count().collect()):  # a row a partition
-        before.append((r["part"], total))
-        total += r["count"]
+    ranked = written(keys.repartitionByRange(parts, "key").select("key", "size", F.spark_partition_id().alias("part")), "ranks")
+    before, sum_ = [], 0
+    for r in sorted(ranked.groupBy("part").agg(F.sum("size").alias("size")).collect()):  # a row a partition
+        before.append((r["part"], sum_))
+        sum_ += r["size"]
     offsets = F.broadcast(spark.createDataFrame(before, "part int, before long"))
-    chosen = ranked.join(offsets, "part").where((F.col("at") + F.col("before") > 0) & ((F.col("at") + F.col("before")) % size == 0)).select("key").collect()  # a row a range
-    return np.unique(np.array([r.key for r in chosen], np.int64))
+    upto = F.col("before") + F.sum("size").over(W.partitionBy("part").orderBy("key", "size").rowsBetween(W.unboundedPreceding, 0))
+    target = math.ceil(total / parts)
+    marked = ranked.join(offsets, "part").select("key", F.floor(upto / target).alias("new"), F.floor((upto - F.col("size")) / target).alias("old"))
+    return np.unique(np.array([r.key for r in marked.where("new > old").select("key").collect()], np.int64))  # a row a range
 
 
 def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -382,7 +385,7 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
         docs_ = [np.frombuffer(x, np.uint16) for x in batch.column("ids").to_pylist()]
         return content_keys(docs_, places) + batch.column("tie").to_numpy()
 
-    cuts = bounds(map_arrow(coded.select("ids", "tie"), lambda b: [keys_of(b)], "key long"), n, min(math.ceil(n / SHARD_DOCS), shuffle_partitions(spark)))
+    cuts = bounds(map_arrow(coded.select("ids", "tie"), lambda b: [keys_of(b), [len(x) // 2 for x in b.column("ids").to_pylist()]], "key long, size long"), round(n * mean), min(math.ceil(n * mean / SHARD_IDS), shuffle_partitions(spark)))
 
     def place(batch):
         key = keys_of(batch)
@@ -391,26 +394,25 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     placed = dealt(map_arrow(coded, place, "part int, key long, doc_id long, ids binary"), len(cuts) + 1, "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, ids, held = None, 0, [], []
+        part, shard, ids, held, size = None, 0, [], [], 0
 
-        def out(count: int):
-            made = pieces((part << SHARD_BITS) + shard, ids[:count], held[:count], idf, mean)
+        def out():
+            made = pieces((part << SHARD_BITS) + shard, ids, held, idf, mean)
             for at in range(0, len(made), 10_000):
                 yield record(schema, list(zip(*made[at : at + 10_000])))
 
         for batch in sliced(batches):
             for own, doc_id, cells in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids"))):
+                if held and (own != part or len(held) == SHARD_DOCS or size + len(cells) // 2 > SHARD_IDS):
+                    yield from out()
+                    shard, ids, held, size = shard + 1, [], [], 0
                 if own != part:
-                    if held:
-                        yield from out(len(held))
-                    part, shard, ids, held = own, 0, [], []
-                elif len(held) == 2 * SHARD_DOCS:  # the last shard of a range is its rest, with fewer than this
-                    yield from out(SHARD_DOCS)
-                    shard, ids, held = shard + 1, ids[SHARD_DOCS:], held[SHARD_DOCS:]
+                    part, shard = own, 0
                 ids.append(doc_id)
                 held.append(np.frombuffer(cells, np.uint16))
+                size += len(held[-1])
         if held:
-            yield from out(len(held))
+            yield from out()
 
     return placed.sortWithinPartitions("part", "key", "doc_id", "ids").select("part", "doc_id", "ids").mapInArrow(run, PIECES)
 
