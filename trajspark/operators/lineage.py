@@ -3,13 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as it is now, checkpointed in spark.checkpoint.dir (a new local folder only where that is unset)."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a new local folder only where that is unset and all runs on one machine."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trajspark-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='trajspark-')}")
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the session's file system closes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as it is now, checkpointed in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -16,8 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .lineage import cut
 from .routing import route_points
-from .spatial import nearest_road, road_range
+from .spatial import nearest_road, placed, road_range
 
 
 def _order():
@@ -45,16 +46,20 @@ def match_candidates(points: DataFrame, roads: DataFrame, parameters: MatchParam
     """(traj_id, seq, ts, x, y, cand, road_id, dist, pp, emission): up to `limit` places per point.
 
     The search radius grows by a tenth until a road is in it. In order of distance, a place is kept
-    if it differs from the last one kept, so roads that meet at one cross count once.
+    if it differs from the last one kept, so roads that meet at one cross count once. A point whose place is
+    null or not finite has no candidates.
     """
     radius = parameters.radius
     found = road_range(points, roads, radius).persist()
-    far = points.join(found.select("traj_id", "seq").distinct(), ["traj_id", "seq"], "left_anti")
+    far = placed(points).join(found.select("traj_id", "seq").distinct(), ["traj_id", "seq"], "left_anti")
     if not far.isEmpty():
         near = nearest_road(far, roads, radius).select("traj_id", "seq", F.col("dist").alias("_nearest"))
         times = F.ceil(F.log(F.col("_nearest") / radius) / math.log(GROWTH) - 1e-9)
         sized = far.join(near, ["traj_id", "seq"]).withColumn("_radius", radius * F.pow(F.lit(GROWTH), F.greatest(times, F.lit(0))))
-        found = found.unionByName(road_range(sized, roads, F.col("_radius")).drop("_nearest", "_radius"))
+        sized = cut(sized.withColumn("_scale", F.ceil(F.log2(F.col("_radius") / radius) / 2).cast("int")))
+        for r in sized.select("_scale").distinct().collect():  # a row for each power of four; cells grow with the radius
+            part = road_range(sized.where(F.col("_scale") == r["_scale"]), roads, F.col("_radius"), radius * 4.0 ** r["_scale"])
+            found = found.unionByName(part.drop("_nearest", "_radius", "_scale"))
     found = found.withColumn("pp", G.make_project_point(G.point("x", "y"), "geom", "road_id", "start_cross", "end_cross", F.col("near")))
     # "Differs from the last kept" is "differs from the one before": equal neighbours form runs.
     by_rank = W.partitionBy("traj_id", "seq").orderBy("rn")

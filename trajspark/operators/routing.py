@@ -15,27 +15,35 @@ import itertools
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FORWARD, BACKWARD = 1, 2
-#: Roads that a worker may hold (about 100 bytes each); a larger map must be cut or relaxed by joins.
-MOST_ROADS = 5_000_000
-_TREES = 256
+#: Roads that a worker may hold (about 520 bytes each); a larger map must be cut or relaxed by joins.
+MOST_ROADS = 2_000_000
+#: Crosses that the search trees of a worker hold together.
+_TREE_CROSSES = 1_000_000
+#: Tasks that the pairs of one origin may reach.
+SPREAD = 4
 
 
-def relaxed_distances(edges: DataFrame, sources: DataFrame, bound: float | None = None, rounds: int = 10_000) -> DataFrame:
+def relaxed_distances(edges: DataFrame, sources: DataFrame, bound: float | None = None) -> DataFrame:
     """(src, dst, dist) from every source cross (cross_id) to all crosses within the bound.
 
-    Each round relaxes the edges of the pairs that the last one improved. Rounds are checkpointed.
+    Each round relaxes the edges of the pairs that the last one improved, until there are none. Rounds are
+    checkpointed. A negative weight is an error.
     """
     from .lineage import cut
 
     best = cut(sources.select(F.col("cross_id").alias("src"), F.col("cross_id").alias("dst"), F.lit(0.0).alias("dist")).distinct())
     frontier = best
     step = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")).select(F.col("src").alias("dst"), F.col("dst").alias("next"), "weight")
-    for _ in range(rounds):
+    if not step.where("weight < 0").isEmpty():
+        raise ValueError("a road of negative length")
+    while not frontier.isEmpty():
         offered = frontier.join(step, "dst").groupBy("src", "next").agg(F.min(F.col("dist") + F.col("weight")).alias("offer"))
         if bound is not None:
             offered = offered.where(F.col("offer") <= bound)
@@ -43,8 +51,6 @@ def relaxed_distances(edges: DataFrame, sources: DataFrame, bound: float | None
         merged = best.join(offered, (best.src == offered.s) & (best.dst == offered.d), "full_outer")
         merged = cut(merged.select(F.coalesce("src", "s").alias("src"), F.coalesce("dst", "d").alias("dst"), F.least("dist", "offer").alias("dist"), (F.col("offer").isNotNull() & (F.col("dist").isNull() | (F.col("offer") < F.col("dist")))).alias("better")))
         best, frontier = merged.select("src", "dst", "dist"), merged.where("better").select("src", "dst", "dist")
-        if frontier.isEmpty():
-            break
     return best
 
 
@@ -90,13 +96,15 @@ class Network:
                 if direction & flag and (v not in self.out.setdefault(u, {}) or length < self.out[u][v][0]):
                     self.out[u][v] = (length, i)
         self._trees: dict[int, Tree] = {}
+        self._sums: dict[tuple[int, int], tuple[float, float, float]] = {}
+        self._table = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_trees": {}}
+        return {**self.__dict__, "_trees": {}, "_sums": {}, "_table": None}
 
     def tree(self, source: int) -> Tree:
         if source not in self._trees:
-            if len(self._trees) >= _TREES:
+            while self._trees and sum(len(t.best) for t in self._trees.values()) > _TREE_CROSSES:
                 self._trees.pop(next(iter(self._trees)))
             self._trees[source] = Tree(self, source)
         return self._trees[source]
@@ -156,6 +164,60 @@ class Network:
         _, a, b = best
         return [e for e in (leave[a], *self.whole(self.tree(a).path(b)), reach[b]) if e]
 
+    def between(self, a: int, b: int) -> tuple[float, float, float]:
+        """(length, sum of length x speed, sum of length / speed) of the shortest path."""
+        if (a, b) not in self._sums:
+            if len(self._sums) >= _TREE_CROSSES:
+                self._sums.clear()
+            parts = [(e[4], self.roads[e[1]][3]) for e in self.whole(self.tree(a).path(b))]
+            self._sums[a, b] = self.tree(a).distance(b), sum(n * v for n, v in parts), sum(n / v for n, v in parts)
+        return self._sums[a, b]
+
+    def measured(self, p: dict, q: dict) -> tuple[np.ndarray, ...]:
+        """(length, speed, seconds, valid) of the paths that points() gives, for arrays type, index, param, x, y of places."""
+        if self._table is None:
+            ids = np.array(sorted(self.roads), np.int64)
+            rows = [self.roads[i] for i in ids.tolist()]
+            self._table = ids, *(np.array([r[k] for r in rows], t) for k, t in enumerate((np.int64, np.int64, np.int64, float, float)))
+        ids, start, end, direction, speed, length = self._table
+        n = len(p["x"])
+        sides = []
+        for place, forward, backward in ((p, end, start), (q, start, end)):
+            on_road = place["type"] == "road"
+            at = np.minimum(np.searchsorted(ids, place["index"]), max(len(ids) - 1, 0))
+            along, rest = place["param"], (length[at] if len(ids) else 0.0) - place["param"]
+            first, second = (rest, along) if place is p else (along, rest)
+            none = np.full(n, np.inf)
+            flags = direction[at] if len(ids) else np.zeros(n, np.int64)
+            v = np.where(on_road, speed[at], 1.0) if len(ids) else np.ones(n)
+            cross = lambda ends: np.where(on_road, ends[at], place["index"]) if len(ids) else place["index"]  # noqa: B023, E731
+            sides.append((on_road, at, v, [(cross(forward), np.where(on_road, np.where(flags & FORWARD, first, none), 0.0)), (cross(backward), np.where(on_road & ((flags & BACKWARD) != 0), second, none))]))
+        (p_road, p_at, p_speed, leave), (q_road, q_at, q_speed, reach) = sides
+        best, best_a, best_b, out_p, out_q = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        for (a, x), (b, y) in itertools.product(leave, reach):
+            open_ = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+            pairs, which = np.unique(np.column_stack([a[open_], b[open_]]), axis=0, return_inverse=True)
+            distance = np.array([self.tree(i).distance(j) for i, j in pairs.tolist()], float)
+            cost = np.full(n, np.inf)
+            cost[open_] = x[open_] + distance[which.reshape(-1)] + y[open_]
+            better = (cost < best) | ((cost == best) & np.isfinite(cost) & ((a < best_a) | ((a == best_a) & (b < best_b))))
+            best, best_a, best_b, out_p, out_q = (np.where(better, new, old) for new, old in ((cost, best), (a, best_a), (b, best_b), (x, out_p), (y, out_q)))
+        here = (p["x"] == q["x"]) & (p["y"] == q["y"])
+        same = ~here & p_road & q_road & (p["index"] == q["index"])
+        routed = ~here & ~same & np.isfinite(best)
+        pairs, which = np.unique(np.column_stack([best_a[routed], best_b[routed]]), axis=0, return_inverse=True)
+        sums = np.array([self.between(i, j) for i, j in pairs.tolist()], float).reshape(-1, 3)[which.reshape(-1)]
+        total, weighted, seconds = np.where(routed, best, np.inf), np.zeros(n), np.zeros(n)
+        weighted[routed] = sums[:, 1] + out_p[routed] * p_speed[routed] + out_q[routed] * q_speed[routed]
+        seconds[routed] = sums[:, 2] + out_p[routed] / p_speed[routed] + out_q[routed] / q_speed[routed]
+        if same.any():
+            flags, step = direction[p_at[same]], q["param"][same] - p["param"][same]
+            legal = (flags == FORWARD | BACKWARD) | np.where(flags == FORWARD, step >= 0, step <= 0)
+            part = np.where(legal, np.abs(step), 0.0)
+            total[same], weighted[same], seconds[same] = part, part * p_speed[same], part / p_speed[same]
+        total[here] = 0.0
+        return total, np.divide(weighted, total, out=np.zeros(n), where=np.isfinite(total) & (total > 0)), seconds, here | same | routed
+
     def speed(self, entities: list[tuple]) -> float:
         """Mean speed weighted by length; 0 where the length is 0 or there is no path."""
         total = length_of(entities)
@@ -220,35 +282,37 @@ def route_crosses(roads: DataFrame, pairs: DataFrame) -> DataFrame:
 PLACE = "struct<type:string,index:int,param:double,x:double,y:double>"
 
 
+_FIELDS = ("type", "index", "param", "x", "y")
+
+
 def route_points(roads: DataFrame, pairs: DataFrame, spelled: bool = True) -> DataFrame:
     """(p, q, length, speed, seconds, valid[, crosses, entities]) of the distinct pairs of places (p, q).
 
-    Without `spelled`, only the four numbers of each path are made.
+    Pairs are dealt by the road or cross of their origin, over SPREAD tasks each so that one origin with a large
+    share of all pairs doesn't fill one, and searched in its order. Without `spelled`, only the four numbers
+    of each path are made, a batch at a time.
     """
     shared = shared_network(roads)
-    fields = ("type", "index", "param", "x", "y")
-    schema = f"p {PLACE}, q {PLACE}, {ROUTED}" if spelled else f"n long, {ROUTED.split(', crosses')[0]}"
-
-    def numbers(network: Network, entities: list[tuple]) -> tuple:
-        return length_of(entities), network.speed(entities), network.seconds(entities), bool(entities)
+    origin = [F.col("p.type"), F.col("p.index")]
+    distinct = pairs.select("p", "q").distinct().repartition(*origin, F.pmod(F.hash("q"), F.lit(SPREAD))).sortWithinPartitions(*origin)
+    if spelled:
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            network = shared.value
-            if spelled:
-                rows = [(p, q, *_routed(network, network.points(p, q))) for p, q in zip(part.p, part.q)]
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                rows = [(p, q, *_routed(shared.value, shared.value.points(p, q))) for p, q in zip(part.p, part.q)]
                 yield pd.DataFrame(rows, columns=["p", "q", *_NAMES])
-            else:
-                values = part.to_numpy(dtype=object)
-                rows = [(v[0], *numbers(network, network.points(dict(zip(fields, v[1:6])), dict(zip(fields, v[6:]))))) for v in values]
-                yield pd.DataFrame(rows, columns=["n", *_NAMES[:4]])
 
-    distinct = pairs.select("p", "q").distinct().repartition("p")
-    if spelled:
-        return distinct.mapInPandas(run, schema)
-    # Flat columns, and a number to join by, cross to Python cheaply.
-    named = distinct.withColumn("n", F.xxhash64("p", "q"))
-    flat = named.select("n", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "pq" for c in fields])
-    keyed = named.select(F.col("n").alias("_n"), "p", "q")
-    found = flat.dropDuplicates(["n"]).mapInPandas(run, schema)
-    return keyed.join(found, F.col("_n") == F.col("n")).drop("n", "_n")
+        return distinct.mapInPandas(run, f"p {PLACE}, q {PLACE}, {ROUTED}")
+    names = [f"{s}_{c}" for s in "pq" for c in _FIELDS]
+    flat = distinct.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "pq" for c in _FIELDS])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = lambda s: {c: np.array(batch.column(f"{s}_{c}").to_pylist(), object if c == "type" else np.int64 if c == "index" else float) for c in _FIELDS}  # noqa: B023, E731
+            found = shared.value.measured(place("p"), place("q"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], [*names, *_NAMES[:4]])
+
+    kinds = ("string", "int", "double", "double", "double")
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds * 2)) + f", {ROUTED.split(', crosses')[0]}"
+    place = lambda s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in _FIELDS]).alias(s)
+    return flat.mapInArrow(measure, schema).select(place("p"), place("q"), *_NAMES[:4])
