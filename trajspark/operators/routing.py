@@ -84,6 +84,27 @@ class Tree:
         return out[::-1]
 
 
+def astar(network: Network, places: dict[int, tuple[float, float]], a: int, b: int) -> list[int]:
+    """Crosses of a shortest path by A* with straight distances, which roads can't undercut; empty without one."""
+    far = lambda c: math.dist(places[c], places[b])
+    best, before, done, heap = {a: 0.0}, {a: None}, set(), [(far(a), a)]
+    while heap:
+        _, u = heapq.heappop(heap)
+        if u == b:
+            out = [b]
+            while before[out[-1]] is not None:
+                out.append(before[out[-1]])
+            return out[::-1]
+        if u in done:
+            continue
+        done.add(u)
+        for v, (w, _) in network.out.get(u, {}).items():
+            if v not in done and best[u] + w < best.get(v, math.inf):
+                best[v], before[v] = best[u] + w, u
+                heapq.heappush(heap, (best[v] + far(v), v))
+    return []
+
+
 class Network:
     """Roads and their adjacency in one process. roads: rows (road_id, start_cross, end_cross, direction, speed, geo_length)."""
 
@@ -267,13 +288,21 @@ def _routed(network: Network, entities: list[tuple]) -> tuple:
     return length_of(entities), network.speed(entities), network.seconds(entities), bool(entities), crosses_on(entities), named
 
 
-def route_crosses(roads: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(src, dst, length, speed, seconds, valid, crosses, entities) of the distinct pairs (src, dst)."""
+def route_crosses(roads: DataFrame, pairs: DataFrame, crosses: DataFrame | None = None) -> DataFrame:
+    """(src, dst, length, speed, seconds, valid, crosses, entities) of the distinct pairs (src, dst).
+
+    By one Dijkstra tree for each src, or, where crosses (cross_id, x, y) are given, by A* for each pair. A* may
+    choose another of several paths of equal length.
+    """
     shared = shared_network(roads)
+    places = None if crosses is None else {r.cross_id: (r.x, r.y) for r in crosses.select("cross_id", "x", "y").limit(2 * MOST_ROADS).collect()}  # ends of at most MOST_ROADS roads
+
+    def found(network: Network, a: int, b: int) -> list[tuple]:
+        return network.crosses(a, b) if places is None or a == b else network.whole(astar(network, places, a, b))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(a, b, *_routed(shared.value, shared.value.crosses(a, b))) for a, b in zip(part.src.tolist(), part.dst.tolist())]
+            rows = [(a, b, *_routed(shared.value, found(shared.value, a, b))) for a, b in zip(part.src.tolist(), part.dst.tolist())]
             yield pd.DataFrame(rows, columns=["src", "dst", *_NAMES])
 
     return pairs.select(F.col("src").cast("int"), F.col("dst").cast("int")).distinct().repartition("src").sortWithinPartitions("src").mapInPandas(run, f"src int, dst int, {ROUTED}")

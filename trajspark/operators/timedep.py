@@ -25,29 +25,43 @@ class HighLevelGraph:
     """Virtual edges (edge, src, dst, bands) in one process; successors in order of edge."""
 
     def __init__(self, edges, mode: str = "compat"):
-        self.mode, self.out, self.ends = mode, {}, {}
+        self.mode, self.out, self.ends, self.base, self.places = mode, {}, {}, None, {}
         for e, a, b, bands in sorted(edges, key=lambda r: r[0]):
-            self.out.setdefault(a, []).append((e, b, [tuple(x) for x in bands]))
-            self.out.setdefault(b, [])
-            self.ends[e] = (a, b)
+            self._add(e, a, b, bands)
 
-    def with_overlay(self, edges) -> HighLevelGraph:
-        """This graph and the temporary edges of one query, after the lasting ones."""
+    def _add(self, e: int, a: int, b: int, bands) -> None:
+        self.out.setdefault(a, []).append((e, b, [tuple(x) for x in bands]))
+        self.out.setdefault(b, [])
+        self.ends[e] = (a, b)
+
+    def has_cross(self, c: int) -> bool:
+        return c in self.out or c in self.places or (self.base is not None and self.base.has_cross(c))
+
+    def has_edge(self, e: int) -> bool:
+        return e in self.ends or (self.base is not None and self.base.has_edge(e))
+
+    def outgoing(self, c: int) -> list:
+        """Edges (edge, to, bands) from a cross, lasting ones first."""
+        return (self.base.outgoing(c) if self.base else []) + self.out.get(c, [])
+
+    def with_overlay(self, edges, crosses=()) -> HighLevelGraph:
+        """This graph and one query's temporary crosses (id, x, y) and edges; the lasting part is shared, not copied."""
         made = HighLevelGraph([], self.mode)
-        made.out = {k: list(v) for k, v in self.out.items()}
-        made.ends = dict(self.ends)
+        made.base = self
+        for c, x, y in crosses:
+            if made.has_cross(c):
+                raise ValueError("a temporary cross has the number of another")
+            made.places[c] = (x, y)
         for e, a, b, bands in edges:
             if a == b:
                 raise ValueError("a temporary edge joins a cross with itself")
-            if e in made.ends:
+            if made.has_edge(e):
                 raise ValueError("a temporary edge has the number of another")
-            made.out.setdefault(a, []).append((e, b, [tuple(x) for x in bands]))
-            made.out.setdefault(b, [])
-            made.ends[e] = (a, b)
+            made._add(e, a, b, bands)
         return made
 
     def find_edge(self, a: int, b: int) -> int:
-        return next((e for e, v, _ in self.out.get(a, ()) if v == b), -1)
+        return next((e for e, v, _ in self.outgoing(a) if v == b), -1)
 
     def earliest(self, a: int, t: int, b: int, edges=frozenset(), crosses=frozenset(), latest: int | None = None, ignore=None) -> list[tuple[int, int]]:
         """[(cross, arrival)] from a at t to b, or []; without the deleted edges and crosses, arrivals after
@@ -64,7 +78,7 @@ class HighLevelGraph:
                 while before[path[-1]] is not None:
                     path.append(before[path[-1]])
                 return [(c, best[c]) for c in reversed(path)]
-            for e, v, bands in self.out.get(u, ()):
+            for e, v, bands in self.outgoing(u):
                 if v in done or v in crosses or e in edges or (ignore and ignore(v)):
                     continue
                 then = now + weights.at(bands, now, self.mode) * 1000
@@ -100,7 +114,7 @@ class HighLevelGraph:
                     closed_edges |= {self.find_edge(here, p[i + 1][0]) for p, _ in accepted if len(p) > i + 1 and p[: i + 1] == root}
                 else:
                     closed_edges.add(self.find_edge(here, path[i + 1][0]))
-                if any(e not in closed_edges for e, _, _ in self.out.get(here, ())):
+                if any(e not in closed_edges for e, _, _ in self.outgoing(here)):
                     spur = self.earliest(here, now, b, closed_edges, closed_crosses, latest)
                     if spur and spur[-1][1] > arrived:
                         heapq.heappush(waiting, (spur[-1][1], order, root[:-1] + spur, i))
@@ -138,7 +152,7 @@ def earliest_arrival(edges: DataFrame, queries: DataFrame, mode: str = "compat")
                 rows.append((q, a, b, t, path[-1][1] if path else None, [{"cross_id": c, "tod_us": x} for c, x in path] or None))
             yield pd.DataFrame(rows, columns=["query_id", "src", "dst", "t0_us", "arrival_us", "path"]).astype({"arrival_us": "Int64"})
 
-    return queries.select("query_id", F.col("src").cast("int"), F.col("dst").cast("int"), "t0_us").mapInPandas(run, f"query_id long, src int, dst int, t0_us long, arrival_us long, path {PATH}")
+    return queries.select("query_id", F.col("src").cast("int"), F.col("dst").cast("int"), "t0_us").repartition("query_id").mapInPandas(run, f"query_id long, src int, dst int, t0_us long, arrival_us long, path {PATH}")
 
 
 PATH = "array<struct<cross_id:int,tod_us:bigint>>"
@@ -165,7 +179,7 @@ def k_shortest_paths(edges: DataFrame, queries: DataFrame, most: int, mode: str
                     rows.append((r.query_id, k, path[-1][1], [{"cross_id": c, "tod_us": x} for c, x in path]))
             yield pd.DataFrame(rows, columns=["query_id", "k", "arrival_us", "path"])
 
-    return queries.mapInPandas(run, f"query_id long, k int, arrival_us long, path {PATH}")
+    return queries.repartition("query_id").mapInPandas(run, f"query_id long, k int, arrival_us long, path {PATH}")
 
 
 def attach_endpoints(edges: DataFrame, hot: DataFrame, roads: DataFrame, ends: DataFrame) -> DataFrame:

@@ -19,6 +19,12 @@ class Matched:
     paths: DataFrame
     ranges: DataFrame
     timed: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Frees what is kept for reuse; the results can still be made again."""
+        for df in self.held:
+            df.unpersist()
 
 
 def match_logs(points: DataFrame, roads: DataFrame, parameters: MatchParameters = DEFAULTS, more_than: int = 5) -> Matched:
@@ -28,7 +34,7 @@ def match_logs(points: DataFrame, roads: DataFrame, parameters: MatchParameters
     moves = matching.transitions(usable, candidates, roads).persist()
     votes = matching.ivmm_votes(candidates, moves, parameters).persist()
     paths = matching.matched_paths(votes, moves, roads).persist()
-    return Matched(votes, paths, matching.valid_ranges(paths), timing.estimate_time(paths, usable, roads))
+    return Matched(votes, paths, matching.valid_ranges(paths), timing.estimate_time(paths, usable, roads), (candidates, moves, votes, paths))
 
 
 def hot_ranking(data: DataFrame, top: int, by: str = "entropy") -> DataFrame:
@@ -57,12 +63,13 @@ def flat_edges(summary: DataFrame) -> DataFrame:
 def restore(data: DataFrame, queries: DataFrame, edges: DataFrame, hot: DataFrame, crosses: DataFrame, weights: DataFrame, most: int = evaluate.MOST_CANDIDATES, mode: str = "compat", more_than: int = footmark.LEAST_COUNT) -> DataFrame:
     """Metrics of restored candidates for queries (query_id, traj_id, first_seq, last_seq).
 
-    The true slice gives start, end and duration; the shortest path on the graph gives the box and the rates
+    The true slice, from its first to its last hot cross, gives start, end and duration; the shortest path on the graph gives the box and the rates
     to beat. Footmarks of all trajectories in the box choose the edges that candidates may use; k
     shortest paths over them, as late as a hundredth of the acceptable duration, are the candidates.
     """
     located = trajectories.on_map(data, crosses)
-    truth = data.join(queries, "traj_id").where("seq BETWEEN first_seq AND last_seq")
+    truth = data.join(queries, "traj_id").where("seq BETWEEN first_seq AND last_seq").withColumn("traj_id", F.col("query_id"))
+    truth = trajectories.trim_to_hot(truth, hot)
     tod = F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(86_400_000_000))
     is_hot = hot.select("cross_id", F.lit(True).alias("_hot")).distinct()
     true_rows = truth.join(is_hot, "cross_id", "left")
@@ -89,6 +96,22 @@ def restore(data: DataFrame, queries: DataFrame, edges: DataFrame, hot: DataFram
     return evaluate.restore_metrics(scored, known, weights)
 
 
+def attached_paths(edges: DataFrame, hot: DataFrame, crosses: DataFrame, roads: DataFrame, queries: DataFrame, most: int = evaluate.MOST_CANDIDATES, mode: str = "compat") -> DataFrame:
+    """k shortest paths for queries (query_id, src, dst, t0_us, latest_us) whose ends need not be hot.
+
+    A cold end is joined to the hot crosses around it by temporary edges, of its query alone.
+    """
+    at = lambda end, outgoing: queries.select(F.col("query_id").alias("id"), F.col(end).alias("cross_id"), F.lit(outgoing).alias("outgoing"))
+    named = lambda df, sign: df.withColumn("id", F.col("id") * 2 + sign)
+    ends = named(at("src", True), 0).unionByName(named(at("dst", False), 1)).join(crosses.select("cross_id", "x", "y"), "cross_id")
+    own = timedep.attach_endpoints(edges, hot, roads, ends).withColumn("query_id", F.floor(F.col("id") / 2).cast("long"))
+    number = (F.row_number().over(W.partitionBy("query_id").orderBy("id", "edge")) - 1).cast("int")
+    most_edge = edges.agg(F.coalesce(F.max("edge"), F.lit(-1)).cast("int").alias("_most"))
+    own = own.join(most_edge, F.lit(True)).withColumn("edge", F.col("_most") + 1 + number)
+    overlays = own.groupBy("query_id").agg(F.collect_list(F.struct("edge", F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "bands")).alias("overlay"))  # the hot crosses around two ends
+    return timedep.k_shortest_paths(edges, queries.join(overlays, "query_id", "left").select("query_id", "src", "dst", "t0_us", "latest_us", "overlay"), most, mode)
+
+
 def score_candidates(found: DataFrame, slices: DataFrame, hot: DataFrame, crosses: DataFrame) -> DataFrame:
     """Candidates (query_id, k, path) with LCS rates and turn counts of their hot crosses."""
     is_hot = hot.select("cross_id", F.lit(True).alias("_hot")).distinct()

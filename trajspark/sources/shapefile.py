@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 POINT, LINE, POLYGON = 1, 3, 5
+#: Attribute columns that a layer has at least; those that a file lacks are null.
 FIELDS = 32
 CHUNK = 50_000
+#: Bytes of a text attribute; the format holds no more.
+MOST_TEXT = 254
 #: Records that one written layer may have.
 MOST_RECORDS = 5_000_000
 
@@ -39,9 +42,12 @@ class DbfFile:
                 break
             self.fields.append((raw[:11].split(b"\0")[0].decode("latin-1"), raw[16]))
 
-    def row(self, i: int) -> list[str]:
-        self.file.seek(self.header + i * self.size + 1)
-        raw, out, at = self.file.read(self.size - 1), [], 0
+    def row(self, i: int) -> list[str] | None:
+        """The values of a record; None if it is marked as deleted."""
+        self.file.seek(self.header + i * self.size)
+        mark, raw, out, at = self.file.read(1), self.file.read(self.size - 1), [], 0
+        if mark == b"*":
+            return None
         for _, n in self.fields:
             out.append(raw[at : at + n].decode("utf-8", "replace").strip())
             at += n
@@ -93,8 +99,9 @@ class ShapefileReader(DataSourceReader):
     def read(self, partition):
         with DbfFile(self.path + ".dbf") as table:
             for i, shape in zip(range(partition.first, partition.last), _shapes(self.path, partition.first, partition.last)):
-                values = table.row(i)[:FIELDS]
-                yield (i, shape, *values, *[None] * (FIELDS - len(values)))
+                values = table.row(i)
+                if values is not None:
+                    yield (i, shape, *values, *[None] * (FIELDS - len(values)))
 
 
 class ShapefileSource(DataSource):
@@ -105,7 +112,9 @@ class ShapefileSource(DataSource):
         return "shapefile"
 
     def schema(self) -> str:
-        return "record long, geom array<struct<x:double,y:double>>, " + ", ".join(f"f{i} string" for i in range(FIELDS))
+        with DbfFile(_stem(self.options["path"]) + ".dbf") as table:
+            n = max(FIELDS, len(table.fields))
+        return "record long, geom array<struct<x:double,y:double>>, " + ", ".join(f"f{i} string" for i in range(n))
 
     def reader(self, schema) -> ShapefileReader:
         return ShapefileReader(self.options["path"])
@@ -152,7 +161,9 @@ def _write_dbf(path: str, names: list[str], kinds: dict[str, str], records) -> N
     for c in names:
         kind = kinds[c]
         whole, real = kind in ("int", "bigint", "smallint", "tinyint"), kind in ("double", "float") or kind.startswith("decimal")
-        text = [("" if r[c] is None else str(r[c]) if whole else f"{r[c]:.9f}" if real else str(r[c])).encode()[:254] for r in records]
+        text = [("" if r[c] is None else str(r[c]) if whole else f"{r[c]:.9f}" if real else str(r[c])).encode() for r in records]
+        if any(len(t) > MOST_TEXT for t in text):
+            raise ValueError(f"{c} has over {MOST_TEXT} bytes: write Parquet")
         fields.append((c.upper()[:10].encode(), b"N" if whole or real else b"C", max([10, *map(len, text)]), 9 if real else 0, text))
     size = 1 + sum(f[2] for f in fields)
     with open(path, "wb") as f:

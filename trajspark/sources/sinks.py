@@ -24,6 +24,14 @@ def range_stem(ranges: DataFrame) -> DataFrame:
     return ranges.select("traj_id", "range_id", F.when(n == 1, "").otherwise(F.concat(F.lit("-"), F.col("range_id").cast("string"))).alias("suffix"))
 
 
+def write_named_paths(paths: DataFrame, folder: str) -> None:
+    """One CSV folder per log and valid range, named by the log and the range's suffix."""
+    stems = range_stem(paths.select("traj_id", "range_id").distinct())
+    row = F.concat_ws(",", "cross_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    named = paths.join(stems, ["traj_id", "range_id"]).select(F.concat(F.col("traj_id").cast("string"), "suffix").alias("log"), "seq", row.alias("value"))
+    named.repartition("log").sortWithinPartitions("log", "seq").select("log", "value").write.mode("overwrite").partitionBy("log").text(folder)
+
+
 def _points(rows: DataFrame) -> DataFrame:
     return rows.withColumn("geom", F.array(G.point("x", "y"))).drop("x", "y")
 
@@ -124,8 +132,9 @@ def metric_lines(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.concat_ws(",", head, *[F.col(m).cast("string") for m in METRICS]).alias("value"))
 
 
-def status(points: DataFrame, votes: DataFrame, more_than: int = 5) -> DataFrame:
-    """(traj_id, status): too short, match fail or finished."""
+def status(points: DataFrame, votes: DataFrame, more_than: int = 5, seconds: float | None = None) -> DataFrame:
+    """(traj_id, status[, seconds]): too short, match fail or finished; seconds of the whole batch where they are given."""
     sizes = points.groupBy("traj_id").agg(F.count("*").alias("n"))
     done = votes.select("traj_id").distinct().withColumn("_done", F.lit(True))
-    return sizes.join(done, "traj_id", "left").select("traj_id", F.when(F.col("n") <= more_than, "too short").when(F.col("_done"), "finished").otherwise("match fail").alias("status"))
+    told = sizes.join(done, "traj_id", "left").select("traj_id", F.when(F.col("n") <= more_than, "too short").when(F.col("_done"), "finished").otherwise("match fail").alias("status"))
+    return told if seconds is None else told.withColumn("seconds", F.lit(float(seconds)))

@@ -22,6 +22,11 @@ def read_table(spark: SparkSession, name: str, base: str | None = None, fmt: str
     return spark.read.format(fmt).load(f"{base}/{name}.{fmt}")
 
 
+def edges_of_type(metadata: DataFrame, type_id: int) -> DataFrame:
+    """(id, start, end, pattern) of the virtual edges of a type."""
+    return metadata.where(F.col("type") == type_id).select("id", "start", "end", "pattern")
+
+
 def timed_path(data: DataFrame, metadata_id: int) -> DataFrame:
     """(seq, cross_id, ts) of a trajectory, in the order of seq."""
     return data.where(F.col("traj_id") == metadata_id).select("seq", "cross_id", "ts").orderBy("seq")
