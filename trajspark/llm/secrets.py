@@ -91,42 +91,69 @@ def _case_bits(raw: str) -> float:
     return 0.0 if raw == raw.lower() else 1.0 if raw in (raw.upper(), raw.capitalize()) else float(len(raw))
 
 
+#: A run (keyboard walk, repeated character or unit) that is longer is a segment only as a whole.
+_RUN_LONGEST = 64
+_UNIT_LONGEST = 16
+
+
 @lru_cache(20_000)
-def guess_bits(value: str) -> float:
-    """log2 of the guesses of the cheapest segmentation, by dynamic programming over end positions."""
+def guess_bits(value: str, enough: float = math.inf) -> float:
+    """log2 of the guesses of the cheapest segmentation, by dynamic programming over end positions.
+
+    A segment is a character by brute force, a dictionary word, a date, or a run: a keyboard walk of three or
+    more, a character two or more times, a unit of up to _UNIT_LONGEST characters back to back. Runs up to
+    _RUN_LONGEST may begin anywhere, longer ones where they do. Time is linear in the value's length. The result
+    is exact below `enough`; where no cheaper way is left, the search stops and gives `enough`.
+    """
     alphabet, ranks = _classes(value), _pieces()
     shortest = 3 if value.isalpha() else 4  # three letters of a random value are a piece too often
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
+    brute = [_brute(c, alphabet) for c in value]
+    upto = [0.0]
+    for b in brute:
+        upto.append(upto[-1] + b)
     best = [0.0] + [math.inf] * n
-    walk = [1] * n  # length of the keyboard walk that ends here
-    same = [1] * n  # length of the run of one character that ends here
-    for i in range(1, n):
-        walk[i] = walk[i - 1] + 1 if low[i] in _NEAR.get(low[i - 1], ()) else 1
-        same[i] = same[i - 1] + 1 if value[i] == value[i - 1] else 1
+    walk = same = 1
+    alike = [0] * (_UNIT_LONGEST + 1)  # how many characters up to here equal those a unit before
+    last_open = 0  # the last place that costs less than enough
     for end in range(1, n + 1):
-        cost = best[end - 1] + _brute(value[end - 1], alphabet)
+        i = end - 1
+        walk = walk + 1 if i and low[i] in _NEAR.get(low[i - 1], ()) else 1
+        same = same + 1 if i and value[i] == value[i - 1] else 1
+        cost = best[i] + brute[i]
         for start in range(max(0, end - _PIECE_LONGEST), end - 2):
-            rank = _RANK.get(plain[start:end]) or (ranks.get(plain[start:end]) if end - start >= shortest else None)
-            if rank:
-                extra = _case_bits(value[start:end]) + (low[start:end] != plain[start:end]) * 2
-                cost = min(cost, best[start] + math.log2(rank + 1) + 1 + extra)
-        for start in range(max(0, end - _DATE_LONGEST), end - 3):
-            if _DATE.fullmatch(value, start, end):
-                cost = min(cost, best[start] + math.log2(366 * (1 if end - start == 4 else 120)))
-        for length in {3, walk[end - 1]} if walk[end - 1] >= 3 else ():
-            cost = min(cost, best[end - length] + math.log2(47 * length) + 0.5 * (length - 1))
-        for length in {2, same[end - 1]} if same[end - 1] >= 2 else ():
-            cost = min(cost, best[end - length] + _brute(value[end - 1], alphabet) + math.log2(length))
-        for unit in range(2, min(end // 2, 16) + 1):  # a unit that occurs twice or more, back to back
-            block, times = value[end - unit : end], 1
-            while value[end - unit * (times + 1) : end - unit * times] == block and end >= unit * (times + 1):
-                times += 1
-            if times > 1:
-                start = end - unit * times
-                cost = min(cost, best[start] + sum(_brute(c, alphabet) for c in block) + math.log2(times + 1))
+            if best[start] < cost:
+                rank = _RANK.get(plain[start:end]) or (ranks.get(plain[start:end]) if end - start >= shortest else None)
+                if rank:
+                    cost = min(cost, best[start] + math.log2(rank + 1) + 1 + _case_bits(value[start:end]) + (low[start:end] != plain[start:end]) * 2)
+        if value[i].isdigit():
+            for start in range(max(0, end - _DATE_LONGEST), end - 3):
+                if best[start] < cost and _DATE.fullmatch(value, start, end):
+                    cost = min(cost, best[start] + math.log2(366 * (1 if end - start == 4 else 120)))
+        longest = 0
+        if walk >= 3:
+            longest = walk
+            for length in range(3, walk + 1) if walk <= _RUN_LONGEST else (walk,):
+                cost = min(cost, best[end - length] + math.log2(47 * length) + 0.5 * (length - 1))
+        if same >= 2:
+            longest = max(longest, same)
+            for length in range(2, same + 1) if same <= _RUN_LONGEST else (same,):
+                cost = min(cost, best[end - length] + brute[i] + math.log2(length))
+        for unit in range(2, min(end - 1, _UNIT_LONGEST) + 1):
+            alike[unit] = alike[unit] + 1 if value[i] == value[i - unit] else 0
+            most = alike[unit] // unit + 1
+            if most > 1:
+                longest = max(longest, alike[unit] + unit)
+                block = upto[end] - upto[end - unit]
+                for times in range(2, most + 1) if most * unit <= _RUN_LONGEST else (most,):
+                    cost = min(cost, best[end - unit * times] + block + math.log2(times + 1))
         best[end] = cost
-    return best[n]
+        if cost < enough:
+            last_open = end
+        elif end - last_open > _RUN_LONGEST and end - longest > last_open:  # no segment to come begins where it is cheap
+            return enough
+    return min(best[n], enough)
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -141,7 +168,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     added = []
     for m in _CONTEXT.finditer(text) if hinted else ():
         start, end = m.span(1)
-        if not any(a < end and start < b for a, _, b in base) and guess_bits(m[1]) >= GUESS_BITS:
+        if not any(a < end and start < b for a, _, b in base) and guess_bits(m[1], GUESS_BITS) >= GUESS_BITS:
             added.append((start, 3, end))
     return base, added
 
