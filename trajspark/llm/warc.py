@@ -24,7 +24,7 @@ SCHEMA = "record_id string, record_type string, target_uri string, date string,
 _HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 _ARROW = pa.schema([*((c, pa.string()) for c in _HEADERS), ("payload_bytes", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 _BATCH_BYTES = 4 << 20
-_PLAN_BYTES = 64 << 20
+_PLAN_BYTES = 16 << 20
 _COPY = 1 << 20
 
 
@@ -44,12 +44,15 @@ def _listed(path: str) -> list[tuple[str, int]]:
     if system is None:
         if os.path.isfile(place):
             return [(path, os.path.getsize(place))]
-        return sorted((e.path, e.stat().st_size) for e in os.scandir(place) if e.is_file() and keep(e.name))
+        found = [os.path.join(folder, name) for folder, _, names in os.walk(place) for name in names if keep(name)]
+        return sorted((p, os.path.getsize(p)) for p in found)
     from pyarrow import fs
 
-    scheme = path.split("://")[0]
+    parsed = urlparse(path)
+    # Object stores name the bucket in the path that pyarrow gives, other file systems name the host beside it.
+    root = f"{parsed.scheme}://" if place.lstrip("/").startswith(parsed.netloc) and parsed.netloc else f"{parsed.scheme}://{parsed.netloc}/"
     found = system.get_file_info(fs.FileSelector(place, recursive=True)) if system.get_file_info(place).type == fs.FileType.Directory else [system.get_file_info(place)]
-    return sorted((f"{scheme}://{f.path.lstrip('/')}", f.size) for f in found if f.is_file and keep(f.base_name))
+    return sorted((f"{root}{f.path.lstrip('/')}", f.size) for f in found if f.is_file and keep(f.base_name))
 
 
 def _stream(path: str):
@@ -175,6 +178,7 @@ class WarcDataSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # without it Spark refuses a source that takes filters
     spark.dataSource.register(WarcDataSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
