@@ -23,10 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, map_arrow, table, texts
 
-#: Bound on the labelled rows that are learnt from; bound on the lexicon.
+#: Bound on the labelled rows that are learnt from, and so on the lexicon.
 SAMPLE = 20_000
-LEXICON = 4_000
-EXCEPTIONS = 1_000
 THRESHOLD = 0.3
 HELD_OUT = 2
 _BEGINNINGS = (3, 4, 5, 6, 7, 8)
@@ -151,7 +149,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     ids = spark.createDataFrame(chosen, "doc_id long, toxic int")
     rows = columns_of(docs, ["doc_id", "text"]).join(F.broadcast(ids), "doc_id")
     taught = rows.where(crc("doc_id") != 3)
-    toxic, other = (sum(r.toxic == k and _crc(r.doc_id) != 3 for r in chosen) for k in (1, 0))
+    seen = {r.toxic: r["count"] for r in taught.select("toxic").groupBy("toxic").count().collect()}  # two rows; labels without a document don't count
+    toxic, other = seen.get(1, 0), seen.get(0, 0)
     if not toxic or not other:
         return small_lex(base)
     t, n = F.col("t"), F.col("n")
@@ -160,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     counts = _counted(taught).cache()
     least = max(2, min(5, toxic // 20))
     mine = counts.where((t >= least) & (t <= toxic) & (n <= other)).select("feature", odds.alias("weight"), "t", ((t - expected) / F.sqrt(expected + 1)).alias("z")).where("weight > 2 and z > 4")
-    terms = mine.where("substr(feature, 1, 1) <> 'x'").orderBy(F.desc(F.col("weight") * F.log1p("t")), "feature").limit(LEXICON).collect()
+    terms = mine.where("substr(feature, 1, 1) <> 'x'").collect()  # terms of at most `sample` rows
     words = {r.feature[1:]: r.weight for r in terms if r.feature[0] == "w"}
     # A beginning is kept only if it is in clearly more toxic documents than any one word that starts with it.
     most: Counter = Counter()
@@ -173,8 +172,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     vague = {x[:k] for x, r in begun.items() for k in range(min(_BEGINNINGS), len(x)) if x[:k] in begun and r.t + most[x[:k]] >= 0.8 * begun[x[:k]].t and r.weight > begun[x[:k]].weight + 1}
     starts = {x: r.weight for x, r in begun.items() if x not in vague}
     phrase = F.split(F.substring("feature", 2, 1_000_000), " ")
-    lexical = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    clean = counts.where("substr(feature, 1, 1) = 'x'").where(F.arrays_overlap(phrase, lexical)).where((n >= 3) & (n * toxic >= 3 * t * other)).orderBy(F.desc("n"), "feature").limit(EXCEPTIONS).collect() if words else []
+    lexical = spark.createDataFrame([(w,) for w in words], "word string")
+    phrases = counts.where("substr(feature, 1, 1) = 'x'").where((n >= 3) & (n * toxic >= 3 * t * other)).select("feature", F.explode(phrase).alias("word"))
+    clean = phrases.join(F.broadcast(lexical), "word", "left_semi").select("feature").distinct().collect()  # phrases of at most `sample` rows
     counts.unpersist()
     made = Lexicon(words, starts, {r.feature[1:]: 0.0 for r in clean}, [0.0, 0.0, 0.0])
 
@@ -190,12 +190,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     return made
 
 
-def _crc(doc_id: int) -> int:
-    import zlib
-
-    return zlib.crc32(str(doc_id).encode()) % 4
-
-
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
     def per_batch(batch):
