@@ -313,3 +313,81 @@ def test_short_random_values_are_secrets_and_long_words_are_not():
     random.seed(8)
     drawn = ["".join(random.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=8)) for _ in range(2000)]
     assert sum(secrets.guess_bits(v) >= secrets.GUESS_BITS for v in drawn) > 0.9 * len(drawn)
+
+
+def cheapest(value):
+    """Every segmentation, one after another."""
+    from functools import cache
+
+    alphabet, ranks, low = secrets._classes(value), secrets._pieces(), value.lower()
+    plain = low.translate(secrets._LEET)
+    brute = lambda c: secrets._brute(c, alphabet)
+
+    def costs(a, b):
+        part, n = value[a:b], b - a
+        if n == 1:
+            yield brute(part)
+        rank = secrets._RANK.get(plain[a:b]) or (ranks.get(plain[a:b]) if n >= (3 if value.isalpha() else 4) else None)
+        if n >= 3 and rank:
+            yield math.log2(rank + 1) + 1 + secrets._case_bits(part) + 2 * (low[a:b] != plain[a:b])
+        if secrets._DATE.fullmatch(value, a, b):
+            yield math.log2(366 * (1 if n == 4 else 120))
+        if n >= 3 and all(y in secrets._NEAR.get(x, ()) for x, y in zip(low[a:b], low[a + 1 : b])):
+            yield math.log2(47 * n) + 0.5 * (n - 1)
+        for unit in range(1, n // 2 + 1):
+            if n % unit == 0 and part == part[:unit] * (n // unit):
+                yield sum(map(brute, part[:unit])) + math.log2(n // unit + (unit > 1))
+
+    @cache
+    def best(a):
+        return 0.0 if a == len(value) else min(c + best(b) for b in range(a + 1, len(value) + 1) for c in costs(a, b))
+
+    return best(0)
+
+
+def test_guess_cost_is_the_minimum():
+    random.seed(12)
+    drawn = ["".join(random.choices("abqwe19", k=random.randint(1, 14))) for _ in range(150)] + ["qwertyqwerty", "Password1999", "aaaabbbb1234", "2001-02-03xx", "asdfasdfasdf9", "p4ssw0rd!!!", "zxcvbnm,./", "abababababab"]
+    for v in drawn:
+        assert abs(secrets.guess_bits(v) - cheapest(v)) < 1e-9, v
+        assert secrets.guess_bits(v, 20.0) == min(20.0, secrets.guess_bits(v))
+
+
+def test_very_long_values_take_seconds():
+    import time
+
+    began = time.time()
+    for v in ("a" * 200_000, "ab1" * 60_000, "".join(random.choices("abcdefgh12345", k=1_000_000))):
+        assert secrets.guess_bits(v, secrets.GUESS_BITS) <= secrets.GUESS_BITS
+        assert (0, 0, 10 + len(v)) in secrets.spans(f"password: {v} end")[0]
+    assert time.time() - began < 60
+
+
+def test_queries_have_their_columns(spark, tmp_path):
+    """Every registered query, on tables of odd rows and on empty ones."""
+    from trajspark.llm import queries
+
+    contract = {
+        "op1_simhash": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op2_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+        "op3_minhash": "doc_id n_shingles component_id kept", "op4_gumbel_pieces": "doc_id sample n_pieces ids_crc32 round_trip", "op5_suffix_array": "doc_id n_bytes n_removed n_spans kept_sha256",
+        "op6_paragraphs": "doc_id start end cluster_doc_id cluster_start removed", "op7_warc": "page_id payload_bytes payload_digest record_type refers_to", "op8_exact_top_k": "query_id rank vec_id score",
+        "op9_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans", "op10_toxicity": "doc_id held_out score predicted",
+    }
+    a_row_each = {"op1_simhash", "op3_minhash", "op5_suffix_array", "op7_warc", "op9_secret_scan", "op10_toxicity"}
+    pages = [(i, f"http://x/{i}", t) for i, t in ODD]
+    for folder, rows in (("odd", ODD), ("none", [])):
+        at = f"{tmp_path}/{folder}"
+        documents(spark, rows).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(pages if rows else [], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+        spark.createDataFrame([(0, [1.0, 2.0]), (50, [0.5, None]), (3, None), (7, [1.0, 1.0]), (None, [1.0, 2.0])] if rows else [], "vec_id long, embedding array<double>").write.parquet(f"{at}/embeddings.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        for name, query in queries.queries().items():
+            got = query(spark, at)
+            assert set(contract[name].split()) <= set(got.columns), name
+            n = got.count()
+            assert (n == len(rows) if name in a_row_each else n >= (1 if rows and name in ("op2_packing", "op4_gumbel_pieces", "op8_exact_top_k") else 0)), name
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    kept = {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()}
+    assert kept == {1, 3, 4, 5, 7, 9, None}  # without labels nothing is toxic; the copies of 1 go

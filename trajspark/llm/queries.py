@@ -1,9 +1,7 @@
-"""The queries of this subpackage and, where SQL can express them, their SQL."""
+"""The queries of this subpackage and, where SQL can express them, their SQL. The entry module adds the pipeline over them."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import topk
 from .lattice import op4_gumbel_pieces
 from .minhash import op3_minhash
@@ -19,7 +17,6 @@ from .warc import op7_warc
 
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.run,
         "op1_simhash": op1_simhash,
         "op2_packing": op2_packing,
         "op3_minhash": op3_minhash,
