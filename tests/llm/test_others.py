@@ -236,7 +236,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 def every_segmentation(text):
     v = lattice.lattices_of(MODEL).vocabulary
-    pieces = {v.model.id_to_piece(i): (i, x) for _, ids, w, _ in v.of_size.values() for i, x in zip(ids.tolist(), w.tolist())}
+    pieces = {v.model.id_to_piece(i): (i, x) for _, _, ids, w in v.of_size for i, x in zip(ids.tolist(), w.tolist())}
     line, out = "▁" + text.replace(" ", "▁"), []
 
     def go(i, ids, w):

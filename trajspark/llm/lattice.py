@@ -19,12 +19,15 @@ fewer than k segmentations gives them all. Rows of one key and text give equal s
 
 from __future__ import annotations
 
+import collections
 import itertools
 import math
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,13 +37,25 @@ SAMPLES = 2
 _UNIT = re.compile("▁+[^▁\n]*|\n|[^▁\n]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MOST_EDGES = 3_000_000
-_GUIDE = 16
+_GUIDE = 8
 _SEEN = 18
+_MET = 22
 #: Places looked at first; the most that a Gumbel value of a 53-bit number can be.
 _FIRST = 64
 _MOST_GUMBEL = 37.5
 
 
+class _Spelt(dict):
+    """The byte pieces of characters, by -1 - code point."""
+
+    def __init__(self, of: dict[int, int]):
+        self.of = of
+
+    def __missing__(self, number: int) -> list[int]:
+        ids = self[number] = [self.of[b] for b in chr(-number - 1).encode()]
+        return ids
+
+
 class Vocabulary:
     def __init__(self, path: str):
         import sentencepiece
@@ -52,45 +67,64 @@ class Vocabulary:
         if any(re.search("[^▁]▁|.\n|\n.", p) for p in pieces):
             raise ValueError("a piece crosses the bounds of units")
         self.bytes = {int(self.model.id_to_piece(i)[3:5], 16): i for i in range(n) if self.model.is_byte(i)}
-        self.spelling = [b"" if self.model.is_control(i) or self.model.is_unused(i) else self.model.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
+        self.by_bytes = _Spelt(self.bytes)
+        spelling = [b"" if self.model.is_control(i) or self.model.is_unused(i) else self.model.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
         for b, i in self.bytes.items():
-            self.spelling[i] = bytes([b])
+            spelling[i] = bytes([b])
+        self.spelling = np.array(spelling, object)
         rank = np.argsort(np.argsort([-self.model.get_score(i) for i in normal], kind="stable"))
         self.byte_weight = -math.log(1.0 + len(normal))
-        self.of_size = {}
-        for size in sorted({len(p) for p in pieces}):
-            own = [j for j, p in enumerate(pieces) if len(p) == size]
-            hashes = np.array([_hash(_points(pieces[j])) for j in own], np.uint64)
-            order = np.argsort(hashes)
-            # Most substrings are no piece: a bitmap over the hashes' first bits turns them away.
-            seen = np.zeros(1 << _SEEN, bool)
-            seen[(mix64(hashes) >> np.uint64(64 - _SEEN)).astype(np.int64)] = True
-            self.of_size[size] = hashes[order], np.array(normal)[own][order], -np.log1p(rank[own][order].astype(float)), seen
-
-
-    def decoded(self, ids: list[int]) -> bytes:
+        # By size, what is known of a hash's first bits (1: a piece may have them, 2: the beginning of a longer one
+        # may), and the hashes, ids and weights of the pieces.
+        self.of_size = []
+        weights = -np.log1p(rank.astype(float))
+        sizes = np.array([len(p) for p in pieces])
+        points, begin = _points("".join(pieces)), np.cumsum(sizes) - sizes
+        at, rolled = np.arange(len(pieces)), np.zeros(len(pieces), np.uint64)
+        for size in range(1, int(sizes.max()) + 1):
+            rolled = _longer(rolled, points[begin[at] + size - 1])
+            ends = sizes[at] == size
+            known = np.zeros(1 << _SEEN, np.uint8)
+            known[_first_bits(rolled[ends])] |= 1
+            known[_first_bits(rolled[~ends])] |= 2
+            order = np.argsort(rolled[ends])
+            own = at[ends][order]
+            self.of_size.append((known, rolled[ends][order], np.array(normal)[own], weights[own]))
+            at, rolled = at[~ends], rolled[~ends]
+
+    def decoded(self, ids: np.ndarray) -> bytes:
         """What ids spell, in UTF-8, without the leading mark."""
-        return b"".join(map(self.spelling.__getitem__, ids)).removeprefix(b" ")
+        return b"".join(self.spelling[ids].tolist()).removeprefix(b" ")
 
 
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
-def _hash(points: np.ndarray) -> np.uint64:
-    h = np.uint64(0)
-    with np.errstate(over="ignore"):
-        for p in points:
-            h = h * _BASE + p + np.uint64(1)
-    return h
+def _longer(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes of strings, each with one more character."""
+    return hashes * _BASE + points + np.uint64(1)
+
 
+def _first_bits(hashes: np.ndarray) -> np.ndarray:
+    return (mix64(hashes) >> np.uint64(64 - _SEEN)).astype(np.int64)
 
-class _Units(dict):
-    """Numbers of units in order of their first sight."""
 
-    def __missing__(self, unit: str) -> int:
-        number = self[unit] = len(self)
-        return number
+def units_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """How many units each text has, their numbers among the distinct ones, and those; blanks are marks."""
+    if any("\0" in t for t in batch):
+        parts = pa.array([_UNIT.findall("▁" + t.replace(" ", "▁")) if t else [] for t in batch], pa.list_(pa.string()))
+    else:
+        marked = pa.array(["▁" + t if t else "" for t in batch], pa.string())
+        # A cut before every run of marks and on both sides of a line break.
+        for old, new in (" ", "▁"), ("▁", "\0▁"), ("▁\0", "▁"), ("\n", "\0\n\0"):
+            marked = pc.replace_substring(marked, old, new)
+        parts = pc.split_pattern(marked, "\0")
+    flat = parts.flatten()
+    some = pc.not_equal(flat, "")
+    counts = np.bincount(pc.list_parent_indices(parts).filter(some).to_numpy(), minlength=len(batch))
+    found = flat.filter(some).dictionary_encode()
+    return counts, found.indices.to_numpy(), found.dictionary.to_pylist()
 
 
 class Lattices:
@@ -101,7 +135,8 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.unit = _Units()
+        self.unit = collections.defaultdict()  # numbers in order of first sight
+        self.met = np.zeros(1 << _MET, bool)
         self.start = np.zeros(0, np.int64)  # the first node of each unit
         self.nodes = self.edges = self.guides = 0
         self.passing: list[str] = []
@@ -119,19 +154,36 @@ class Lattices:
         array[used : used + len(values)] = values
 
     def starts(self, units: list[str]) -> np.ndarray:
-        """The first node of each unit."""
+        """The first node of each of the distinct units."""
         if self.passing:  # units of the last call that there was no lasting room for
             for u in self.passing:
                 del self.unit[u]
             self.nodes, self.edges, self.guides = self.lasting
             self.passing = []
         known = len(self.unit)
+        self.unit.default_factory = itertools.count(known).__next__
         numbers = np.fromiter(map(self.unit.__getitem__, units), np.int64, len(units))
         if len(self.unit) > known:
             new = list(itertools.islice(self.unit, known, None))
-            if self.edges > _MOST_EDGES:
-                self.lasting, self.passing = (self.nodes, self.edges, self.guides), new
-            self._append("start", known, self._add(new))
+            if self.edges > _MOST_EDGES // 2:
+                # Most units are met once: the second half of the room is for those met before.
+                marks = np.fromiter(map(hash, new), np.int64, len(new)) & ((1 << _MET) - 1)
+                lasts = self.met[marks] & (self.edges <= _MOST_EDGES)
+                self.met[marks] = True
+                order = np.argsort(~lasts, kind="stable")
+                place = np.empty(len(new), np.int64)
+                place[order] = np.arange(known, known + len(new))
+                late = np.flatnonzero(numbers >= known)
+                numbers[late] = place[numbers[late] - known]
+                new = [new[i] for i in order.tolist()]
+                stay = int(lasts.sum())
+                self.unit.update(zip(new[:stay], range(known, known + stay)))
+                new, self.passing = new[:stay], new[stay:]
+            if new:
+                self._append("start", known, self._add(new))
+            self.lasting = self.nodes, self.edges, self.guides
+            if self.passing:
+                self._append("start", known + len(new), self._add(self.passing))
         return self.start[numbers]
 
     def _add(self, units: list[str]) -> np.ndarray:
@@ -144,26 +196,25 @@ class Lattices:
         node = np.arange(n) + np.repeat(np.arange(len(units)), sizes)  # a unit of m characters has m + 1 nodes
         source, target, piece, weight = [], [], [], []
         has_one = np.zeros(n, bool)
-        rolled = np.zeros(n, np.uint64)
-        for size in range(1, max(v.of_size) + 1):
-            m = n - size + 1
-            if m <= 0:
+        at, rolled = np.arange(n), np.zeros(n, np.uint64)
+        for size, (known, hashes, ids, weights) in enumerate(v.of_size, 1):
+            rolled = _longer(rolled, points[at + (size - 1)])
+            what = known[_first_bits(rolled)]
+            maybe = np.flatnonzero(what & 1)
+            if len(maybe):
+                place = np.minimum(np.searchsorted(hashes, rolled[maybe]), len(hashes) - 1)
+                hit = hashes[place] == rolled[maybe]
+                own, place = at[maybe[hit]], place[hit]
+                if size == 1:
+                    has_one[own] = True
+                source.append(own)
+                target.append(node[own] + size)
+                piece.append(ids[place])
+                weight.append(weights[place])
+            on = np.flatnonzero((what > 1) & (to_end[at] > size))
+            if not len(on):
                 break
-            rolled = rolled[:m] * _BASE + points[size - 1 :] + np.uint64(1)
-            if size not in v.of_size:
-                continue
-            hashes, ids, weights, seen = v.of_size[size]
-            at = np.flatnonzero(to_end[:m] >= size)
-            at = at[seen[(mix64(rolled[at]) >> np.uint64(64 - _SEEN)).astype(np.int64)]]
-            place = np.minimum(np.searchsorted(hashes, rolled[at]), len(hashes) - 1)
-            hit = hashes[place] == rolled[at]
-            at, place = at[hit], place[hit]
-            if size == 1:
-                has_one[at] = True
-            source.append(at)
-            target.append(node[at] + size)
-            piece.append(ids[place])
-            weight.append(weights[place])
+            at, rolled = at[on], rolled[on]
         rest = np.flatnonzero(~has_one)
         source.append(rest)
         target.append(node[rest] + 1)
@@ -211,28 +262,30 @@ class Lattices:
         self.nodes, self.edges, self.guides = base + len(count), edges + len(own), self.guides + len(guide)
         return base + np.cumsum(sizes + 1) - (sizes + 1)
 
-    def walk(self, node: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(walker, step, edge) of walks from the nodes to the ends of their units, in order."""
-        walker, out = np.arange(len(node)), []
-        step = 0
-        node = node.copy()
-        alive = np.flatnonzero(self.rank[node] >= 0)
+    def walk(self, node: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray]:
+        """The edges of walks from the nodes to the ends of their units, one walk after another, and where each walk ends among them."""
+        steps, out = np.zeros(len(node), np.int64), []
+        part = self.rank[node]
+        alive = np.flatnonzero(part >= 0)
+        part = part[alive]
         while len(alive):
-            u = draw(walker[alive], step)
-            edge = self.guide[self.rank[node[alive]] * _GUIDE + (u * _GUIDE).astype(np.int64)].astype(np.int64)
+            u = draw(alive, len(out))
+            edge = self.guide[part * _GUIDE + (u * _GUIDE).astype(np.int64)].astype(np.int64)
             late = np.flatnonzero(self.upto[edge] <= u)
             while len(late):
                 edge[late] += 1
                 late = late[self.upto[edge[late]] <= u[late]]
-            out.append((walker[alive], np.full(len(alive), step), edge))
-            node[alive] = self.target[edge]
-            alive = alive[self.rank[node[alive]] >= 0]
-            step += 1
-        if not out:
-            return tuple(np.zeros(0, np.int32) for _ in range(3))
-        w, s, e = (np.concatenate(x) for x in zip(*out))
-        order = np.argsort(w, kind="stable")  # steps come in order
-        return w[order], s[order], e[order]
+            out.append((alive, edge))
+            part = self.rank[self.target[edge]]
+            on = part >= 0
+            steps[alive[~on]] = len(out)
+            alive, part = alive[on], part[on]
+        ends = np.cumsum(steps)
+        edges = np.empty(int(steps.sum()), np.int64)
+        begin = ends - steps
+        for step, (walker, edge) in enumerate(out):
+            edges[begin[walker] + step] = edge
+        return edges, ends
 
 
 def chained(*parts, h=np.uint64(0x243F6A8885A308D3)) -> np.ndarray:
@@ -261,9 +314,8 @@ class _Subset:
 
 def samples(lattices: Lattices, batch: list[str], keys: list[int], k: int) -> list[list[tuple]]:
     """For each text, up to k tuples (edges, log probability, Gumbel value, log inclusion)."""
-    units = [_UNIT.findall("▁" + t.replace(" ", "▁")) if t else [] for t in batch]
-    counts = np.array([len(u) for u in units])
-    starts = np.split(lattices.starts([x for u in units for x in u]), np.cumsum(counts)[:-1]) if len(batch) else []
+    counts, numbers, units = units_of(batch)
+    starts = np.split(lattices.starts(units)[numbers], np.cumsum(counts)[:-1]) if len(batch) else []
     seeds = np.array(keys, np.uint64)
     first_value = -np.log(-np.log(uniforms(seeds, 1))) if len(seeds) else []
     queues = [[_Subset(float(g), np.zeros(0, np.int64), 0.0, 0, int(s[0]), frozenset())] if len(s) else [] for g, s in zip(first_value, starts)]
@@ -293,17 +345,21 @@ def samples(lattices: Lattices, batch: list[str], keys: list[int], k: int) -> li
             own = np.concatenate([[entry], starts[d][subset.unit + 1 :]])
             nodes.append(own)
             owners.append(np.full(len(own), d))
-        number = np.concatenate([np.arange(len(x)) for x in nodes])
+        number = np.concatenate([np.arange(len(x)) for x in nodes])  # units from the opened one on
         flat, owner = np.concatenate(nodes), np.concatenate(owners)
         walks = chained(number, h=walking[owner])
-        walker, _, edge = lattices.walk(flat, lambda w, step: uniforms(step, h=walks[w]))
-        bounds = np.searchsorted(owner[walker], np.arange(len(batch) + 1))
-        edge_p, edge_unit = lattices.log_p[edge], number[walker]
-        for (d, subset), taken in zip(opened, entries):
-            own = slice(bounds[d], bounds[d + 1])
-            tail, unit, log_p = edge[own], edge_unit[own] + subset.unit, edge_p[own]
+        edge, ends = lattices.walk(flat, lambda w, step: uniforms(step, h=walks[w]))
+        edge_p = lattices.log_p[edge]
+        last_walk, edges_before = -1, 0
+        for (d, subset), taken, own in zip(opened, entries, nodes):
+            last_walk += len(own)
+            part = slice(edges_before, int(ends[last_walk]))
+            own_ends = ends[last_walk + 1 - len(own) : last_walk + 1] - edges_before  # by walk, one for each unit
+            edges_before = part.stop
+            tail, log_p = edge[part], edge_p[part]
             if taken >= 0:
-                tail, unit, log_p = (np.concatenate([[x], y]) for x, y in ((taken, tail), (subset.unit, unit), (lattices.log_p[taken], log_p)))
+                tail, log_p = np.concatenate([[taken], tail]), np.concatenate([[lattices.log_p[taken]], log_p])
+                own_ends = own_ends + 1
             before = subset.before + np.cumsum(log_p) - log_p
             results[d].append((np.concatenate([subset.prefix, tail]), subset.before + float(log_p.sum()), subset.value))
             if not len(tail):
@@ -330,7 +386,7 @@ def samples(lattices: Lattices, batch: list[str], keys: list[int], k: int) -> li
             for j in keep:
                 i = int(places[j])
                 closed = (subset.closed if i == 0 else frozenset()) | {int(tail[i])}
-                queues[d].append(_Subset(float(values[j]), np.concatenate([subset.prefix, tail[:i]]), float(before[i]), int(unit[i]), int(lattices.source[tail[i]]), closed))
+                queues[d].append(_Subset(float(values[j]), np.concatenate([subset.prefix, tail[:i]]), float(before[i]), subset.unit + int(np.searchsorted(own_ends, i, side="right")), int(lattices.source[tail[i]]), closed))
     out = []
     for t, found, queue in zip(batch, results, queues):
         if not t:
@@ -354,8 +410,7 @@ def ids_of(lattices: Lattices, edges: np.ndarray) -> np.ndarray:
     rest = np.flatnonzero(piece < 0)
     if not len(rest):
         return piece
-    of = lattices.vocabulary.bytes
-    spelt = [[of[b] for b in chr(-p - 1).encode()] for p in piece[rest].tolist()]
+    spelt = [lattices.vocabulary.by_bytes[p] for p in piece[rest].tolist()]
     sizes = np.ones(len(piece), np.int64)
     sizes[rest] = [len(x) for x in spelt]
     out = np.repeat(piece, sizes)
@@ -400,7 +455,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def per_batch(batch):
         vocabulary = lattices_of(model).vocabulary
-        return [batch.column("doc_id"), batch.column("sample"), [vocabulary.decoded(ids).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]]
+        return [batch.column("doc_id"), batch.column("sample"), [vocabulary.decoded(np.array(ids, np.int64)).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]]
 
     return map_arrow(columns_of(encoded, ["doc_id", "sample", "ids"]), per_batch, "doc_id long, sample int, text string")
 
@@ -412,6 +467,6 @@ def op4_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
 
     def digest(ids: np.ndarray, text: str) -> tuple:
-        return len(ids), zlib.crc32(ids.astype("<u4").tobytes()), lattices_of(model).vocabulary.decoded(ids.tolist()) == text.replace("▁", " ").encode()
+        return len(ids), zlib.crc32(ids.astype("<u4").tobytes()), lattices_of(model).vocabulary.decoded(ids) == text.replace("▁", " ").encode()
 
     return _sampled(table(spark, sf_dir, "documents"), model, SAMPLES, 0, digest, "doc_id long, sample int, n_pieces long, ids_crc32 long, round_trip boolean, log_p double, value double, log_inclusion double")
