@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, map_arrow, table, texts
+from .common import columns_of, map_arrow, sliced, table, texts
 
 #: Bound on the labelled rows that are learnt from, and so on the lexicon.
 SAMPLE = 20_000
@@ -107,15 +108,15 @@ def _counted(rows: DataFrame) -> DataFrame:
     """(feature, toxic documents, other documents) of labelled rows."""
 
     def per_batch(batch):
-        counts: dict[str, Counter] = {}
+        counts = Counter(), Counter()  # of other and of toxic documents
         for text, label in zip(texts(batch.column("text")), batch.column("toxic").to_pylist()):
             words = fold(text)
             own = {f"w{w}" for w in words}
             own |= {f"b{w[:k]}" for w in set(words) for k in _BEGINNINGS if len(w) > k}
             own |= {f"x{a} {b}" for a, b in zip(words, words[1:])}
-            for x in own:
-                counts.setdefault(x, Counter())[label] += 1
-        return [list(counts), [c[1] for c in counts.values()], [c[0] for c in counts.values()]]
+            counts[label].update(own)
+        found = list(counts[0].keys() | counts[1].keys())
+        return [found, [counts[1][x] for x in found], [counts[0][x] for x in found]]
 
     return map_arrow(rows, per_batch, "feature string, t long, n long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
 
@@ -201,11 +202,12 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The documents whose score is under the threshold, as they are."""
-    @F.pandas_udf("double")
-    def toxic(column: pd.Series) -> pd.Series:
-        return pd.Series(lexicon.scores([t or "" for t in column]))
 
-    return docs.where(toxic("text") < THRESHOLD)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(lexicon.scores(texts(batch.column("text"))) < THRESHOLD, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
