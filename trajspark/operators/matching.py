@@ -1,7 +1,8 @@
 """Map matching by interactive voting, and its single-pass variant.
 
-Candidates, emissions and transitions are relational: all logs at once, distinct pairs of places
-routed once. Only the voting over one log, which is sequential, runs as a grouped kernel.
+Candidates, emissions and transitions are tables: all logs at once, distinct pairs of places
+routed once. Only the voting over one log, which is sequential, runs as a grouped kernel. `match_whole`
+makes candidates, transitions and votes of whole logs where they are, and deals no more than points.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import whole_logs
 from .lineage import cut
 from .routing import route_points
 from .spatial import nearest_road, placed, road_range
@@ -47,9 +49,18 @@ def match_candidates(points: DataFrame, roads: DataFrame, parameters: MatchParam
 
     The search radius grows by a tenth until a road is in it. In order of distance, a place is kept
     if it differs from the last one kept, so roads that meet at one cross count once. A point whose place is
-    null or not finite has no candidates.
+    null or not finite has no candidates. Other columns of points stay, after these; on a map that a worker may
+    hold, rows stay in the order of the points.
     """
+    if whole_logs.fits(roads):
+        return whole_logs.candidates(points, roads, parameters, LEAST_EMISSION)
+    return joined_candidates(points, roads, parameters)
+
+
+def joined_candidates(points: DataFrame, roads: DataFrame, parameters: MatchParameters = DEFAULTS) -> DataFrame:
+    """match_candidates by joins, for a map of any size."""
     radius = parameters.radius
+    others = [c for c in points.columns if c not in ("traj_id", "seq", "ts", "x", "y")]
     found = road_range(points, roads, radius).persist()
     far = placed(points).join(found.select("traj_id", "seq").distinct(), ["traj_id", "seq"], "left_anti")
     if not far.isEmpty():
@@ -68,7 +79,7 @@ def match_candidates(points: DataFrame, roads: DataFrame, parameters: MatchParam
     kept = kept.withColumn("cand", F.row_number().over(by_rank) - 1).where(F.col("cand") < parameters.limit)
     off = F.col("dist") - parameters.mean
     normal = F.exp(-off * off / (2 * parameters.deviation**2)) / (math.sqrt(2 * math.pi) * parameters.deviation)
-    return kept.select("traj_id", "seq", "ts", "x", "y", "cand", "road_id", "dist", "pp", F.greatest(normal, F.lit(LEAST_EMISSION)).alias("emission"))
+    return kept.select("traj_id", "seq", "ts", "x", "y", "cand", "road_id", "dist", "pp", F.greatest(normal, F.lit(LEAST_EMISSION)).alias("emission"), *others)
 
 
 def steps(points: DataFrame) -> DataFrame:
@@ -214,6 +225,21 @@ def st_match(candidates: DataFrame, moves: DataFrame) -> DataFrame:
     return a.groupBy("traj_id").cogroup(b.groupBy("traj_id")).applyInPandas(one, "traj_id long, seq long, cand int")
 
 
+def match_whole(points: DataFrame, roads: DataFrame, parameters: MatchParameters = DEFAULTS, spelled: bool = True) -> DataFrame:
+    """(traj_id, seq, cand, vote, fvalue, chosen, ...) of every candidate, with the step to the next point's winner where it won.
+
+    The same as match_candidates, transitions, ivmm_votes and matched_paths in turn. Without `spelled`,
+    entities are null.
+    """
+    whole = whole_logs.with_steps(points.repartition("traj_id"), _order()).sortWithinPartitions("traj_id", "seq")
+    return whole_logs.matched(match_candidates(whole, roads, parameters), roads, parameters, spelled)
+
+
+def whole_paths(matched: DataFrame) -> DataFrame:
+    """The paths of match_whole's rows: those of matched_paths, and t1 and t2, microseconds at both ends."""
+    return matched.where("chosen AND c1 IS NOT NULL").select("traj_id", "seq", *whole_logs.STEP_COLUMNS, "entities")
+
+
 def matched_paths(votes: DataFrame, moves: DataFrame, roads: DataFrame) -> DataFrame:
     """(traj_id, seq, seq2, entities, valid, ...): the paths between the winners of neighbouring points.
 

@@ -217,17 +217,17 @@ class Network:
         best, best_a, best_b, out_p, out_q = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         for (a, x), (b, y) in itertools.product(leave, reach):
             open_ = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
-            pairs, which = np.unique(np.column_stack([a[open_], b[open_]]), axis=0, return_inverse=True)
-            distance = np.array([self.tree(i).distance(j) for i, j in pairs.tolist()], float)
+            starts, ends, which = _distinct(a[open_], b[open_])
+            distance = np.array([self.tree(i).distance(j) for i, j in zip(starts, ends)], float)
             cost = np.full(n, np.inf)
-            cost[open_] = x[open_] + distance[which.reshape(-1)] + y[open_]
+            cost[open_] = x[open_] + distance[which] + y[open_]
             better = (cost < best) | ((cost == best) & np.isfinite(cost) & ((a < best_a) | ((a == best_a) & (b < best_b))))
             best, best_a, best_b, out_p, out_q = (np.where(better, new, old) for new, old in ((cost, best), (a, best_a), (b, best_b), (x, out_p), (y, out_q)))
         here = (p["x"] == q["x"]) & (p["y"] == q["y"])
         same = ~here & p_road & q_road & (p["index"] == q["index"])
         routed = ~here & ~same & np.isfinite(best)
-        pairs, which = np.unique(np.column_stack([best_a[routed], best_b[routed]]), axis=0, return_inverse=True)
-        sums = np.array([self.between(i, j) for i, j in pairs.tolist()], float).reshape(-1, 3)[which.reshape(-1)]
+        starts, ends, which = _distinct(best_a[routed], best_b[routed])
+        sums = np.array([self.between(i, j) for i, j in zip(starts, ends)], float).reshape(-1, 3)[which]
         total, weighted, seconds = np.where(routed, best, np.inf), np.zeros(n), np.zeros(n)
         weighted[routed] = sums[:, 1] + out_p[routed] * p_speed[routed] + out_q[routed] * q_speed[routed]
         seconds[routed] = sums[:, 2] + out_p[routed] / p_speed[routed] + out_q[routed] / q_speed[routed]
@@ -251,6 +251,12 @@ class Network:
         return sum(e[4] / self.roads[e[1]][3] for e in entities if e[1] is not None)
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
+    """Distinct pairs of crosses, which are ints of 32 bits, and the place of each given pair among them."""
+    keys, which = np.unique((a << 32) | (b & 0xFFFFFFFF), return_inverse=True)
+    return (keys >> 32).tolist(), keys.astype(np.int32).tolist(), which
+
+
 def _cross_of(p) -> tuple:
     return (p["index"], p["index"]) if p["type"] == "cross" else (None, None)
 

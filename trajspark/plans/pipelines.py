@@ -27,14 +27,20 @@ class Matched:
             df.unpersist()
 
 
-def match_logs(points: DataFrame, roads: DataFrame, parameters: MatchParameters = DEFAULTS, more_than: int = 5) -> Matched:
-    """Logs (traj_id, seq, ts, x, y) of more than a number of points, as timed paths over crosses."""
-    usable = trajectories.long_enough(points, more_than)
-    candidates = matching.match_candidates(usable, roads, parameters).persist()
-    moves = matching.transitions(usable, candidates, roads).persist()
-    votes = matching.ivmm_votes(candidates, moves, parameters).persist()
-    paths = matching.matched_paths(votes, moves, roads).persist()
-    return Matched(votes, paths, matching.valid_ranges(paths), timing.estimate_time(paths, usable, roads), (candidates, moves, votes, paths))
+def match_logs(points: DataFrame, roads: DataFrame, parameters: MatchParameters = DEFAULTS, more_than: int = 5, keep: bool = False) -> Matched:
+    """Logs (traj_id, seq, ts, x, y) of more than a number of points, as timed paths over crosses.
+
+    Each result is made from the points, which costs no storage; with `keep`, what all have in common is kept for several.
+    """
+    usable = trajectories.long_enough(points.repartition("traj_id"), more_than)
+    whole = lambda spelled: matching.match_whole(usable, roads, parameters, spelled)
+    spelled = whole(True)
+    if keep:
+        spelled = spelled.persist()
+    plain = spelled if keep else whole(False)
+    paths = matching.whole_paths(spelled)
+    votes = plain.select("traj_id", "seq", "cand", "vote", "fvalue", "chosen")
+    return Matched(votes, paths, matching.valid_ranges(matching.whole_paths(plain)), timing.estimate_time(paths, usable, roads), (spelled,) if keep else ())
 
 
 def hot_ranking(data: DataFrame, top: int, by: str = "entropy") -> DataFrame:

@@ -38,7 +38,7 @@ def start_matching(stream: DataFrame, roads: DataFrame, out: str, checkpoint: st
     def match(batch: DataFrame, number: int) -> None:
         began = time.time()
         batch = batch.persist()
-        found = match_logs(batch, roads, parameters)
+        found = match_logs(batch, roads, parameters, keep=True)
         found.timed.write.mode("overwrite").parquet(f"{out}/timed/batch={number}")
         status(batch, found.votes, seconds=round(time.time() - began, 3)).write.mode("overwrite").parquet(f"{out}/status/batch={number}")
         found.release()
