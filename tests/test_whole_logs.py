@@ -68,3 +68,14 @@ def test_candidates_on_bent_roads(spark):
     rows = lambda df: sorted((r.seq, r.cand, r.road_id, round(r.dist, 9), tuple(r.pp), round(r.emission, 12)) for r in df.collect())
     want = rows(matching.joined_candidates(points, roads, p))
     assert len({r[0] for r in want}) == 73 and rows(matching.match_candidates(points, roads, p)) == want
+
+
+def test_matching_deals_points_only(spark):
+    """No pair of candidates is joined, dealt or kept."""
+    kept = len(spark.sparkContext._jsc.getPersistentRDDs())
+    found = pipelines.match_logs(fx.gps(spark, SF), fx.road(spark))
+    for df in (found.votes, found.ranges, found.paths):
+        assert df.count() > 0
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan.split("Initial Plan")[0]
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == kept
