@@ -14,10 +14,14 @@ def estimate_time(paths: DataFrame, points: DataFrame, roads: DataFrame) -> Data
     nominal time, scaled so that they fill the interval, and ends at a cross in whole
     milliseconds, cut off. The first entity also gives its start cross at the earlier time; a last
     whole road ends exactly at the later time, as does a lone part that ends on a cross; a last part
-    gives nothing. A cross and time equal to the one before goes.
+    gives nothing. A cross and time equal to the one before goes. Paths that have t1 and t2, the microseconds at
+    their ends, aren't joined with the points.
     """
     us = points.select("traj_id", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    timed = paths.where("valid").join(us.withColumnRenamed("us", "t1"), ["traj_id", "seq"]).join(us.select("traj_id", F.col("seq").alias("seq2"), F.col("us").alias("t2")), ["traj_id", "seq2"])
+    timed = paths.where("valid")
+    if not {"t1", "t2"} <= set(paths.columns):
+        timed = timed.join(us.withColumnRenamed("us", "t1"), ["traj_id", "seq"]).join(us.select("traj_id", F.col("seq").alias("seq2"), F.col("us").alias("t2")), ["traj_id", "seq2"])
+    timed = timed.select("traj_id", "seq", "t1", "t2", "entities").repartition("traj_id")  # dealt once, before it is spread out
     each = timed.select("traj_id", "seq", "t1", "t2", F.size("entities").alias("n"), F.posexplode("entities").alias("pos", "e"))
     speed = roads.select(F.col("road_id").alias("_road"), "speed")
     each = each.join(speed, F.col("e.road_id") == F.col("_road"), "left")
