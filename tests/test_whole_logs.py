@@ -79,3 +79,12 @@ def test_matching_deals_points_only(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan.split("Initial Plan")[0]
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == kept
+
+
+def test_window_study_keeps_nothing(spark):
+    from trajspark.queries import QUERIES
+
+    kept = len(spark.sparkContext._jsc.getPersistentRDDs())
+    rates = {r.window: r.avg_rate for r in QUERIES["window_study"](spark, SF).collect()}
+    assert set(rates) == {2, 5} and 0.9 < rates[2] <= rates[5] <= 1
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == kept

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import weights
 from .functions.geometry import point
-from .operators import clustering, evaluate, footmark, hotedges, matching, network, phases, routing, spatial, timedep, timing, trajectories
+from .operators import clustering, evaluate, footmark, hotedges, matching, network, phases, routing, spatial, timedep, timing, trajectories, whole_logs
 from .operators.matching import MatchParameters
 from .plans import pipelines
 
@@ -320,12 +320,12 @@ def window_study(spark, sf_dir):
     """Matched crosses of all logs under windows of 2 and 5 points, against the unbounded one."""
     points = fx.gps(spark, sf_dir)
     roads = fx.road(spark)
-    found = matching.match_candidates(points, roads, MATCH).persist()
-    moves = matching.transitions(points, found, roads).persist()
+    order = W.partitionBy("traj_id").orderBy("seq")
+    found = matching.match_candidates(whole_logs.with_steps(points.repartition("traj_id"), order).sortWithinPartitions("traj_id", "seq"), roads, MATCH)
     paths = None
     for w in (-1, 2, 5):
-        votes = matching.ivmm_votes(found, moves, MatchParameters(window=w))
-        each = matching.matched_paths(votes, moves, roads).where("valid").select("traj_id", "seq", F.posexplode("entities").alias("pos", "e")).select("traj_id", "seq", "pos", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("e.from_cross").alias("c")), F.struct(F.lit(1).alias("k"), F.col("e.to_cross").alias("c")))).alias("v")).where("v.c IS NOT NULL")
+        paths_ = matching.whole_paths(whole_logs.matched(found, roads, MatchParameters(window=w), True)).repartition("traj_id")
+        each = paths_.where("valid").select("traj_id", "seq", F.posexplode("entities").alias("pos", "e")).select("traj_id", "seq", "pos", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("e.from_cross").alias("c")), F.struct(F.lit(1).alias("k"), F.col("e.to_cross").alias("c")))).alias("v")).where("v.c IS NOT NULL")
         previous = F.lag("v.c").over(W.partitionBy("traj_id", "seq").orderBy("pos", "v.k"))
         kept = each.withColumn("_p", previous).where("_p IS NULL OR _p <> v.c")
         line = F.sort_array(F.collect_list(F.struct("seq", "pos", "v.k", "v.c")))
