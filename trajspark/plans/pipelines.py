@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.weights import constant
 from ..operators import clustering, evaluate, footmark, hotedges, matching, phases, routing, timedep, timing, trajectories
+from ..operators.lineage import cut
 from ..operators.matching import DEFAULTS, MatchParameters
 
 
@@ -85,6 +86,7 @@ def restore(data: DataFrame, queries: DataFrame, edges: DataFrame, hot: DataFram
         line(F.lit(True)).alias("crosses"), line(F.col("_hot")).alias("crosses_hot"),
     ).withColumn("seconds", F.expr("(t1_us - t0_us) div 1000000")).persist()
     base = timedep.earliest_arrival(edges, slices.select("query_id", F.col("start_cross").alias("src"), F.col("end_cross").alias("dst"), "t0_us"), mode).where("path IS NOT NULL")
+    base = cut(base)  # a row for each query, read several times
     on_path = base.select("query_id", F.explode("path.cross_id").alias("cross_id")).join(crosses, "cross_id")
     boxes = timedep.search_box(on_path)
     foot_queries = slices.join(boxes, "query_id").select("query_id", "start_cross", "end_cross", "seconds", "box")
