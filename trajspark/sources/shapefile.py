@@ -2,7 +2,7 @@
 
 Layouts follow the public ESRI shapefile and dBASE III descriptions. Reading gives (record, geom, f0,
 f1, ...) with every attribute as text, by position; the records of a layer are one partition each
-for CHUNK of them. Writing gathers a layer, which is a report of bounded size, on the driver.
+for CHUNK of them. Tasks make the bytes of a layer, and the driver writes them one piece after another.
 """
 
 from __future__ import annotations
@@ -10,7 +10,10 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,8 +24,8 @@ FIELDS = 32
 CHUNK = 50_000
 #: Bytes of a text attribute; the format holds no more.
 MOST_TEXT = 254
-#: Records that one written layer may have.
-MOST_RECORDS = 5_000_000
+#: 16-bit words of a file, as signed ints of 32 bits count them.
+MOST_WORDS = 2**31 - 1
 
 
 def _stem(path: str) -> str:
@@ -126,54 +129,126 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_shapefile(rows: DataFrame, path: str, geom: str = "geom", kind: int = LINE) -> int:
-    """Writes rows as a layer; columns other than the geometry become attributes, in order. Returns the count."""
+    """Writes rows as a layer; columns other than the geometry become attributes, in order. Returns the count.
+
+    Tasks make the bytes of their records; the driver writes one piece after another and holds no more than a
+    partition's. Rows keep their order. They are made twice, first for their number, widths and box.
+    """
     names = [c for c in rows.columns if c != geom]
-    kinds = dict(rows.dtypes)
-    records = rows.limit(MOST_RECORDS + 1).collect()
-    if len(records) > MOST_RECORDS:
-        raise ValueError(f"a layer of over {MOST_RECORDS} records: write Parquet")
+    kinds = [dict(rows.dtypes)[c] for c in names]
+    given = rows.select(*[F.col(f"`{c}`").cast("timestamp_ntz").alias(c) if k == "timestamp" else F.col(f"`{c}`") for c, k in zip(names, kinds)], geom)
+    layout = _measured(given, len(names), kinds, kind)
+    short = [c for c, n in zip(names, layout.widths) if n > MOST_TEXT]
+    if short:
+        raise ValueError(f"{short[0]} has over {MOST_TEXT} bytes: write Parquet")
+    size = 1 + sum(layout.widths)
+    if 50 + layout.words > MOST_WORDS or 33 + 32 * len(names) + size * layout.records > 2 * MOST_WORDS:
+        raise ValueError("more than the format's files hold: write Parquet")
     path = _stem(path)
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    offset, index, body, box = 50, [], [], [float("inf"), float("inf"), float("-inf"), float("-inf")]
-    for i, r in enumerate(records):
-        points = [(p["x"], p["y"]) for p in r[geom]]
-        xs, ys = [p[0] for p in points], [p[1] for p in points]
-        own = (min(xs), min(ys), max(xs), max(ys))
-        box = [min(box[0], own[0]), min(box[1], own[1]), max(box[2], own[2]), max(box[3], own[3])]
+    head = lambda words: struct.pack(">IIIIIII", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<ii", 1000, kind) + struct.pack("<8d", *layout.box, 0, 0, 0, 0)
+    widths, number, offset = layout.widths, 0, 50
+    with open(path + ".shp", "wb") as shapes, open(path + ".shx", "wb") as index, open(path + ".dbf", "wb") as table:
+        shapes.write(head(50 + layout.words))
+        index.write(head(50 + 4 * layout.records))
+        table.write(struct.pack("<BBBBIHH20x", 3, 124, 1, 1, layout.records, 33 + 32 * len(names), size))
+        for c, told, n in zip(names, kinds, widths):
+            whole, real = _number(told)
+            table.write(c.upper()[:10].encode().ljust(11, b"\0") + (b"N" if whole or real else b"C") + b"\0" * 4 + bytes([n, 9 if real else 0]) + b"\0" * 14)
+        table.write(b"\r")
+        pieces = given.mapInArrow(lambda batches: _pieces(batches, kinds, widths, kind), "sizes binary, shapes binary, attributes binary")
+        for piece in pieces.toLocalIterator():
+            words = np.frombuffer(piece["sizes"], "<i8")
+            at = offset + np.cumsum(words + 4) - (words + 4)
+            heads = np.column_stack([at, words]).astype(">u4")
+            index.write(heads.tobytes())
+            heads[:, 0] = number + 1 + np.arange(len(words))
+            body = np.frombuffer(piece["shapes"], np.uint8).copy()
+            first = (2 * (at - offset))[:, None] + np.arange(8)
+            body[first] = heads.view(np.uint8)  # the number and size that precede each record
+            shapes.write(body.tobytes())
+            table.write(piece["attributes"])
+            number, offset = number + len(words), offset + int((words + 4).sum())
+        table.write(b"\x1a")
+    if number != layout.records:
+        raise ValueError("the rows of the layer changed while they were written")
+    return number
+
+
+class _Layout(NamedTuple):
+    records: int
+    words: int  # 16-bit words of all records
+    box: list[float]
+    widths: list[int]
+
+
+def _number(kind: str) -> tuple[bool, bool]:
+    return kind in ("int", "bigint", "smallint", "tinyint"), kind in ("double", "float") or kind.startswith("decimal")
+
+
+def _texts(values: list, kind: str) -> list[bytes]:
+    whole, real = _number(kind)
+    return [("" if v is None else str(v) if whole else f"{v:.9f}" if real else str(v)).encode() for v in values]
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(points of each record, x, y)"""
+    if column.null_count:
+        raise ValueError("a record without a geometry")
+    points = column.flatten()
+    return column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), points.field("x").to_numpy(zero_copy_only=False), points.field("y").to_numpy(zero_copy_only=False)
+
+
+def _contents(batch: pa.RecordBatch, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(points, first point, 16-bit words of each record, x, y) of a batch whose last column is the geometry."""
+    n, x, y = _flat(batch.column(batch.num_columns - 1))
+    if (n == 0).any():
+        raise ValueError("a record without a point")
+    return n, np.cumsum(n) - n, np.full(len(n), 10) if kind == POINT else (48 + 16 * n) // 2, x, y
+
+
+def _measured(rows: DataFrame, attributes: int, kinds: list[str], kind: int) -> _Layout:
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                n, _, words, x, y = _contents(batch, kind)
+                widths = [max(map(len, _texts(batch.column(i).to_pylist(), k))) for i, k in zip(range(attributes), kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (batch.num_rows, int((words + 4).sum()), x.min(), y.min(), x.max(), y.max(), widths)], schema=summary)
+
+    summary = pa.schema([("records", pa.int64()), ("words", pa.int64()), *[(c, pa.float64()) for c in ("xmin", "ymin", "xmax", "ymax")], ("widths", pa.list_(pa.int32()))])
+    parts = rows.mapInArrow(run, "records long, words long, xmin double, ymin double, xmax double, ymax double, widths array<int>")
+    sums = parts.agg(F.sum("records"), F.sum("words"), F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax"), *[F.max(F.get("widths", F.lit(i))) for i in range(attributes)]).first()
+    return _Layout(sums[0] or 0, sums[1] or 0, list(sums[2:6]) if sums[0] else [0.0] * 4, [max(10, n or 0) for n in sums[6:]])
+
+
+def _pieces(batches, kinds: list[str], widths: list[int], kind: int):
+    """Bytes of the records of each batch, numbers and sizes before them left blank."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n, first, words, x, y = _contents(batch, kind)
+        at = 2 * (np.cumsum(words + 4) - (words + 4))
+        body = np.zeros(int(2 * (words + 4).sum()), np.uint8)
+
+        def put(where: np.ndarray, values: np.ndarray) -> None:
+            raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+            body[where[:, None] + np.arange(raw.shape[1])] = raw  # noqa: B023
+
+        put(at + 8, np.full(len(n), kind, "<i4"))
         if kind == POINT:
-            content = struct.pack("<idd", POINT, *points[0])
+            put(at + 12, np.column_stack([x[first], y[first]]).astype("<f8"))
         else:
-            content = struct.pack("<i4dii", kind, *own, 1, len(points)) + struct.pack("<i", 0) + b"".join(struct.pack("<dd", *p) for p in points)
-        index.append(struct.pack(">II", offset, len(content) // 2))
-        body.append(struct.pack(">II", i + 1, len(content) // 2) + content)
-        offset += 4 + len(content) // 2
-    box = box if records else [0.0] * 4
-    head = lambda words: struct.pack(">IIIIIII", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<ii", 1000, kind) + struct.pack("<8d", *box, 0, 0, 0, 0)
-    for end, content, words in ((".shp", body, offset), (".shx", index, 50 + 4 * len(index))):
-        with open(path + end, "wb") as f:
-            f.write(head(words) + b"".join(content))
-    _write_dbf(path + ".dbf", names, kinds, records)
-    return len(records)
-
-
-def _write_dbf(path: str, names: list[str], kinds: dict[str, str], records) -> None:
-    fields = []
-    for c in names:
-        kind = kinds[c]
-        whole, real = kind in ("int", "bigint", "smallint", "tinyint"), kind in ("double", "float") or kind.startswith("decimal")
-        text = [("" if r[c] is None else str(r[c]) if whole else f"{r[c]:.9f}" if real else str(r[c])).encode() for r in records]
-        if any(len(t) > MOST_TEXT for t in text):
-            raise ValueError(f"{c} has over {MOST_TEXT} bytes: write Parquet")
-        fields.append((c.upper()[:10].encode(), b"N" if whole or real else b"C", max([10, *map(len, text)]), 9 if real else 0, text))
-    size = 1 + sum(f[2] for f in fields)
-    with open(path, "wb") as f:
-        f.write(struct.pack("<BBBBIHH20x", 3, 124, 1, 1, len(records), 33 + 32 * len(fields), size))
-        for name, kind, n, places, _ in fields:
-            f.write(name.ljust(11, b"\0") + kind + b"\0" * 4 + bytes([n, places]) + b"\0" * 14)
-        f.write(b"\r")
-        for i in range(len(records)):
-            f.write(b" " + b"".join(t[i].rjust(n) if kind == b"N" else t[i].ljust(n) for _, kind, n, _, t in fields))
-        f.write(b"\x1a")
+            boxes = [f.reduceat(v, first) for f, v in ((np.minimum, x), (np.minimum, y), (np.maximum, x), (np.maximum, y))]
+            put(at + 12, np.column_stack(boxes).astype("<f8"))
+            put(at + 44, np.column_stack([np.ones(len(n)), n, np.zeros(len(n))]).astype("<i4"))
+            nth = np.arange(len(x)) - np.repeat(first, n)
+            put(np.repeat(at + 56, n) + 16 * nth, np.column_stack([x, y]).astype("<f8"))
+        columns = [_texts(batch.column(i).to_pylist(), k) for i, k in enumerate(kinds)]
+        columns = [[t.rjust(w) if any(_number(k)) else t.ljust(w) for t in c] for c, k, w in zip(columns, kinds, widths)]
+        table = b"".join(b" " + b"".join(r) for r in zip(*columns)) if columns else b" " * len(n)
+        if len(table) != len(n) * (1 + sum(widths)):
+            raise ValueError("the rows of the layer changed while they were written")
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (words.astype("<i8").tobytes(), body.tobytes(), table)], ["sizes", "shapes", "attributes"])
 
 
 def hot_ranking(layer: DataFrame, top: int) -> DataFrame:
