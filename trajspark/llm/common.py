@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +89,44 @@ def record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+#: How to let go of what operators keep in a worker from task to task.
+_kept: dict[str, Callable[[], object]] = {}
+
+
+def kept(operator: str, clear: Callable[[], object]) -> None:
+    _kept[operator] = clear
+
+
+def let_go(operator: str) -> None:
+    """Lets go of what other operators than this one keep in this worker."""
+    for name, clear in _kept.items():
+        if name != operator:
+            clear()
+
+
+def give_back() -> None:
+    """Free memory of this worker, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run, operator: str):
+    """A kernel that begins without what other operators kept, and gives back free memory when it ends.
+
+    Workers are used again from stage to stage, and while they wait they count against their executor's memory.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(operator)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def map_arrow(df: DataFrame, per_batch, schema: str) -> DataFrame:
     """mapInArrow of a function of one batch that returns columns in the schema's order."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -98,7 +138,7 @@ def map_arrow(df: DataFrame, per_batch, schema: str) -> DataFrame:
         for batch in sliced(batches):
             yield record(out, per_batch(batch))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, per_batch.__module__.rpartition(".")[2]), schema)
 
 
 def chunked(items: Iterable, n: int) -> Iterator[list]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import columns_of, map_arrow, mix64, record, shuffle_partitions, sliced, table, written
+from .common import columns_of, kept, map_arrow, mix64, record, shuffle_partitions, sliced, table, tidy, written
 from .graph import components, join_hot
 
 #: Percent of the union that two sets must share.
@@ -39,6 +39,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+kept("minhash", _hashes.clear)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -190,7 +191,7 @@ def links_in(groups: DataFrame) -> DataFrame:
         if got := out():
             yield got
 
-    return dealt.select("g", "side", "node", "cells").mapInArrow(run, "a long, b long")
+    return dealt.select("g", "side", "node", "cells").mapInArrow(tidy(run, "minhash"), "a long, b long")
 
 
 #: What is compared in one task at once, a side.

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import BASE, INVERSE, columns_of, dealt, map_arrow, mix64, power, record, shuffle_partitions, sliced, table, texts, written
+from .common import BASE, INVERSE, columns_of, dealt, kept, map_arrow, mix64, power, record, shuffle_partitions, sliced, table, texts, tidy, written
 
 WINDOW = 4096
 END = 2
@@ -191,6 +191,7 @@ def grouped_by_size(batch: list[str], most: int) -> Iterator[list[str]]:
 
 
 _known: dict[str, Ids] = {}
+kept("packing", _known.clear)
 
 
 def ids_of(path: str) -> Ids:
@@ -307,7 +308,7 @@ def statistics(coded: DataFrame) -> tuple[int, float, np.ndarray]:
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *terms.tolist()], pa.int32()), pa.array([n, total, *df[terms].tolist()], pa.int64())], ["term", "n"])
 
-    found = coded.select("ids").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a term
+    found = coded.select("ids").mapInArrow(tidy(count, "packing"), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a term
     df = np.zeros(_TERMS, np.int64)
     n = total = 0
     for r in found:
@@ -414,7 +415,7 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
         if held:
             yield from out()
 
-    return placed.sortWithinPartitions("part", "key", "doc_id", "ids").select("part", "doc_id", "ids").mapInArrow(run, PIECES)
+    return placed.sortWithinPartitions("part", "key", "doc_id", "ids").select("part", "doc_id", "ids").mapInArrow(tidy(run, "packing"), PIECES)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

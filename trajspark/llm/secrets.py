@@ -20,7 +20,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import columns_of, map_arrow, table, texts
+from .common import columns_of, kept, map_arrow, table, texts
 
 KINDS = ("assign", "access", "hex", "guess")
 GUESS_BITS = 36.0
@@ -156,6 +156,9 @@ def guess_bits(value: str, enough: float = math.inf) -> float:
     return min(best[n], enough)
 
 
+kept("secrets", lambda: (_pieces.cache_clear(), guess_bits.cache_clear()))
+
+
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base, added), each a list of (start, kind, end) in order."""
     low = text.lower()

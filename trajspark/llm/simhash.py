@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, dealt, mix64, record, shuffle_partitions, sliced, table, texts, written
+from .common import columns_of, dealt, kept, mix64, record, shuffle_partitions, sliced, table, texts, written
 from .graph import join_hot
 
 BITS = 256
@@ -41,6 +41,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+kept("simhash", _hashes.clear)
 
 
 def _votes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import columns_of, dealt, mix64, record, shuffle_partitions, sliced, table, written
+from .common import columns_of, dealt, kept, mix64, record, shuffle_partitions, sliced, table, tidy, written
 
 LENGTH = 100
 GRAM = 32
@@ -41,6 +41,7 @@ CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+kept("suffixes", _powers.clear)
 _LAST = 2**63 - 1
 
 
@@ -220,7 +221,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         if body:
             yield out()
 
-    packed = docs.mapInArrow(run, BLOCKS)
+    packed = docs.mapInArrow(tidy(run, "suffixes"), BLOCKS)
     return written(packed.withColumn("block", F.monotonically_increasing_id()), "blocks", "none")
 
 
@@ -254,7 +255,7 @@ def _with_notes(packed: DataFrame, notes: DataFrame, per_block: Callable, schema
                 yield from per_block(row, held)
                 held = []
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidy(run, "suffixes"), schema)
 
 
 NOTE = "block long, note binary"
@@ -316,8 +317,8 @@ def _twice(packed: DataFrame, parts: int) -> DataFrame:
             if len(part):
                 yield record(note_schema, [[block[owner[part[0]]]], [flat[part].tobytes()]])
 
-    sent = packed.mapInArrow(send, "part int, block long, note binary")
-    return dealt(sent, parts, "part").mapInArrow(match, NOTE)
+    sent = packed.mapInArrow(tidy(send, "suffixes"), "part int, block long, note binary")
+    return dealt(sent, parts, "part").mapInArrow(tidy(match, "suffixes"), NOTE)
 
 
 def _intervals(starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -440,7 +441,7 @@ def _repeats(contexts: DataFrame, parts: int) -> DataFrame:
                 which, a, b = decided(head[part], block[part], data[at])
                 yield from told(block[part][which], head["start"][part][which] + a, head["start"][part][which] + b)
 
-    return dealt(contexts.withColumn("to", F.when(F.col("part") < 0, LOCAL - F.col("part")).otherwise(F.col("part"))), parts, "to").drop("to").mapInArrow(run, NOTE)
+    return dealt(contexts.withColumn("to", F.when(F.col("part") < 0, LOCAL - F.col("part")).otherwise(F.col("part"))), parts, "to").drop("to").mapInArrow(tidy(run, "suffixes"), NOTE)
 
 
 def repeated(docs: DataFrame, rendered: Callable, schema: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, map_arrow, sliced, table, texts
+from .common import columns_of, map_arrow, sliced, table, texts, tidy
 
 #: Bound on the labelled rows that are learnt from, and so on the lexicon.
 SAMPLE = 20_000
@@ -207,7 +207,7 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for batch in sliced(batches):
             yield batch.filter(pa.array(lexicon.scores(texts(batch.column("text"))) < THRESHOLD, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run, "toxicity"), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
