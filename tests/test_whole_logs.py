@@ -81,6 +81,31 @@ def test_matching_deals_points_only(spark):
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == kept
 
 
+def test_ranges_are_made_where_the_paths_are(spark):
+    """Points are dealt once, and not the paths."""
+    found = pipelines.match_logs(fx.gps(spark, SF), fx.road(spark))
+    for df in (found.ranges, found.votes):
+        assert df.count() > 0
+        assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange ") == 1
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 10_000])
+def test_ranges_over_batches(spark, rows):
+    """Paths with gaps and invalid ones, in logs that batches cut anywhere."""
+    rng = np.random.default_rng(rows)
+    paths = [(t, 10 * i, 10 * (i + 1 + int(rng.random() < 0.2)), bool(rng.random() < 0.7)) for t in [7, 3, 11, 5, *range(20, 40)] for i in range(rng.integers(1, 12)) if rng.random() < 0.9]
+    paths += [(50, i, i + 1, False) for i in range(5)] + [(51, i, i + 1, True) for i in range(5)]
+    df = spark.createDataFrame(paths, "traj_id long, seq long, seq2 long, valid boolean").coalesce(1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = sorted(map(tuple, whole_logs.ranges(df).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = sorted(map(tuple, matching.valid_ranges(df).collect()))
+    assert want and got == want and whole_logs.ranges(df.limit(0)).count() == 0
+
+
 def test_window_study_keeps_nothing(spark):
     from trajspark.queries import QUERIES
 

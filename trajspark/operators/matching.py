@@ -240,6 +240,11 @@ def whole_paths(matched: DataFrame) -> DataFrame:
     return matched.where("chosen AND c1 IS NOT NULL").select("traj_id", "seq", *whole_logs.STEP_COLUMNS, "entities")
 
 
+def whole_ranges(matched: DataFrame) -> DataFrame:
+    """valid_ranges of match_whole's rows, made where they are."""
+    return whole_logs.ranges(matched.where("chosen AND c1 IS NOT NULL"))
+
+
 def matched_paths(votes: DataFrame, moves: DataFrame, roads: DataFrame) -> DataFrame:
     """(traj_id, seq, seq2, entities, valid, ...): the paths between the winners of neighbouring points.
 

@@ -422,3 +422,48 @@ def matched(found: DataFrame, roads: DataFrame, parameters, spelled: bool) -> Da
         yield from emit(waiting)
 
     return own.mapInArrow(run, schema)
+
+
+RANGES = "traj_id long, range_id long, first_seq long, last_seq long"
+
+
+def ranges(paths: DataFrame) -> DataFrame:
+    """matching.valid_ranges of paths (traj_id, seq, seq2, valid) whose partitions hold whole logs, each in order of seq: nothing is dealt again."""
+    schema = StructType.fromDDL(RANGES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(schema)
+        before: tuple | None = None  # log, seq2 and valid of the last path
+        open_, made = np.zeros((4, 0), np.int64), 0  # the last range, which may go on; how many its log has so far
+
+        def told(columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=types)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            log, seq, seq2, valid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("traj_id", "seq", "seq2", "valid"))
+            last = before or (log[0], seq[0], False)
+            shifted = lambda column, first: np.append(first, column[:-1])
+            other = log != shifted(log, last[0])
+            fresh = valid & (other | ~shifted(valid, last[2]).astype(bool) | (shifted(seq2, last[1]) != seq))
+            count = np.cumsum(fresh)
+            first = np.flatnonzero(np.append(True, other[1:]))  # the first path of each log here
+            ahead = (count - fresh)[first]
+            ahead[0] -= 0 if other[0] else made  # the log goes on
+            number = count - 1 - np.repeat(ahead, np.diff(np.append(first, len(log))))
+            made = int(number[-1]) + 1
+            at = np.flatnonzero(valid)
+            begin = np.flatnonzero(fresh[at])
+            if open_.shape[1] and (begin[0] if len(begin) else len(at)):
+                open_[3] = seq2[at[(begin[0] if len(begin) else len(at)) - 1]]
+            if len(begin):
+                own = at[begin]
+                end = at[np.append(begin[1:], len(at)) - 1]
+                found = np.column_stack([open_, np.stack([log[own], number[own], seq[own], seq2[end]])])
+                open_ = found[:, -1:].copy()
+                yield told(found[:, :-1])
+            before = log[-1], seq2[-1], valid[-1]
+        yield told(open_)
+
+    return paths.select("traj_id", "seq", "seq2", "valid").mapInArrow(run, schema)

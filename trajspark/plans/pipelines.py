@@ -41,7 +41,7 @@ def match_logs(points: DataFrame, roads: DataFrame, parameters: MatchParameters
     plain = spelled if keep else whole(False)
     paths = matching.whole_paths(spelled)
     votes = plain.select("traj_id", "seq", "cand", "vote", "fvalue", "chosen")
-    return Matched(votes, paths, matching.valid_ranges(matching.whole_paths(plain)), timing.estimate_time(paths, usable, roads), (spelled,) if keep else ())
+    return Matched(votes, paths, matching.whole_ranges(plain), timing.estimate_time(paths, usable, roads), (spelled,) if keep else ())
 
 
 def hot_ranking(data: DataFrame, top: int, by: str = "entropy") -> DataFrame:
