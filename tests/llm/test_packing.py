@@ -1,3 +1,5 @@
+import random
+import string
 import zlib
 
 import numpy as np
@@ -98,3 +100,18 @@ def test_shards_are_cut_by_content_under_the_statistics_of_all(spark, monkeypatc
     coded = spark.createDataFrame([(bytes(np.array(d, np.uint16)),) for d in ([1, 1, 2], [2, 3], [2])], "ids binary").repartition(3)
     n, mean, df = packing.statistics(coded)
     assert (n, mean) == (3, 2.0) and df[:5].tolist() == [0, 1, 3, 1, 0]
+
+
+def test_marks_after_a_word_cost_no_call():
+    """Words with runs of marks after them are encoded with the others; what is no word with marks goes alone."""
+    ids, plain = packing.Ids(PATH), Tokenizer.from_file(PATH)
+    calls, encoded = [], ids.encoded
+    ids.encoded = lambda text: calls.append(text) or encoded(text)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgHIJßéжλ") for _ in range(rng.randint(1, 9)))
+    batch = [" ".join(word() + rng.choice(["", "!!", "%%%", "...", "'", "\"'"]) for _ in range(200)) for _ in range(10)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in batch]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in ids.of(batch)] == want
+    assert len(calls) < 10
+    odd = ["ΟΔΟΣ ΟΔΟΣ. Σ", "it's i'll' l'll x's's", "a1!! 12.5% é! é", "İ İ! ı", "<|endoftext|> a<|endoftext|>! <|endoftext|", "a b! a b\x85c \x1c\x1d!", "ﬁ! ǅ? 가! 가!", "≠ a≠", "", "\n \t", *(f"Ab{m} {m} {m}{m}Ab{m}b{m}" for m in string.punctuation)]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in ids.of(odd)] == [plain.encode(t, add_special_tokens=False).ids for t in odd]

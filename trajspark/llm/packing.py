@@ -17,6 +17,8 @@ of their own. Windows are WINDOW ids long.
 from __future__ import annotations
 
 import math
+import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -40,7 +42,9 @@ SHARD_BITS, SEQUENCE_BITS = 19, 24
 K1, B = 1.2, 0.75
 #: A worker remembers half as many parts as its table has slots, about 80 MB in all.
 _SLOTS = 22
-_MARKS = ".,;:!?"
+_MARKS = string.punctuation
+#: Runs of marks that a worker remembers.
+_TAILS = 10_000
 _BATCH_CHARS = 500_000
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b"\t\n\x0b\x0c\r ")] = True
@@ -51,18 +55,19 @@ class Ids:
 
     The tokenizer drops white space and never joins what it parts, so a text's ids are those of its
     parts between ASCII white space, in a row. Parts are remembered in a table over their hashes,
-    looked up for a whole batch at once. The tokenizer lower-cases, and keeps letters apart from a
-    mark after them: new parts are reduced to their lower-case letters, and these are encoded together
+    looked up for a whole batch at once. The tokenizer lower-cases, and keeps letters apart from
+    marks after them: new parts are reduced to their lower-case letters, and these are encoded together
     in one text, which is cut after each token that ends a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
-        self.marks = {m: self.encoded(m) for m in _MARKS}
+        self.tails: dict[str, np.ndarray] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -71,7 +76,7 @@ class Ids:
         self.pool, self.used, self.held = np.zeros(1 << 20, np.uint16), 0, 0
 
     def encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         """For each key its slot, or the empty slot where it would go."""
@@ -83,15 +88,17 @@ class Ids:
             slot[open_] = (slot[open_] + 1) & ((1 << _SLOTS) - 1)
         return slot
 
-    def _insert(self, keys: np.ndarray, values: list[np.ndarray]) -> None:
-        """Adds distinct new keys with their ids."""
-        sizes = np.array([len(v) for v in values], np.int64)
-        total = int(sizes.sum())
-        if self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), total), np.uint16)])
-        if total:
-            self.pool[self.used : self.used + total] = np.concatenate(values)
+    def _insert(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds distinct new keys with their ids, in a row."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint16)])
+        self.pool[self.used : self.used + len(ids)] = ids
         at = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self._point(keys, at, sizes)
+
+    def _point(self, keys: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds distinct new keys whose ids are in the pool."""
         left = np.arange(len(keys))
         while len(left):  # keys that want one slot take turns
             slot = self._slots(keys[left])
@@ -99,9 +106,13 @@ class Ids:
             won = left[first]
             self.keys[slot[first]], self.at[slot[first]], self.size[slot[first]] = keys[won], at[won], sizes[won]
             left = np.delete(left, first)
-        self.used += total
         self.held += len(keys)
 
+    def _pooled(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Runs of the pool, in a row."""
+        after = np.cumsum(size)
+        return self.pool[np.repeat(at - after + size, size) + np.arange(int(after[-1]) if len(after) else 0)]
+
     def _parts(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, key) of the parts of bytes that end with white space."""
         blank = _BLANK[data]
@@ -130,50 +141,74 @@ class Ids:
             if self.held + 2 * len(first) > 1 << (_SLOTS - 1):
                 self.clear()
                 _, first = np.unique(keys, return_index=True)
-            text = data.tobytes()
-            self._learn([text[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())], keys[first])
+            size = end[first] - start[first] + 1  # with the white space after it
+            after = np.cumsum(size)
+            text = data[np.repeat(start[first] - after + size, size) + np.arange(int(after[-1]))]
+            text[after - 1] = 10
+            self._learn(text[:-1].tobytes().decode(), keys[first])
             slot = self._slots(keys)
         at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
         after = np.cumsum(size)
-        ids = self.pool[np.repeat(at - after + size, size) + np.arange(int(after[-1]) if len(after) else 0)]
+        ids = self._pooled(at, size)
         ends = np.cumsum([len(r) + 1 for r in raw])
         cuts = np.concatenate([[0], after])[np.searchsorted(end, ends, side="left")]
         flat = ids.tobytes()
         return [flat[2 * a : 2 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
 
-    def _learn(self, parts: list[str], keys: np.ndarray) -> None:
-        plan, values = [], [None] * len(parts)
-        for i, part in enumerate(parts):
-            low = part.lower()
-            if "\u03a3" in part:  # lower-cased by its place in a word here, but not by the tokenizer
-                values[i] = self.encoded(part)
+    def _learn(self, text: str, keys: np.ndarray) -> None:
+        """Remembers new parts, given in lines."""
+        parts, lows = text.split("\n"), text.lower().split("\n")
+        words, plain, marked, tails, odd = [], [], [], [], []
+        sigma = "\u03a3" in text  # lower-cased by its place in a word here, but not by the tokenizer
+        for i, low in enumerate(lows):
+            if sigma and "\u03a3" in parts[i]:
+                odd.append(i)
             elif low.isalpha():
-                plan.append((i, low, None))
-            elif part[-1] in self.marks and low[:-1].isalpha():
-                plan.append((i, low[:-1], part[-1]))
+                words.append(low)
+                plain.append(i)
+            elif (word := low.rstrip(_MARKS)).isalpha():
+                marked.append(i)
+                tails.append(low[len(word) :])
             else:
-                values[i] = self.encoded(part)
-        words = list(dict.fromkeys(w for _, w, _ in plan))
-        known = dict(zip(words, self._words(words)))
-        for i, word, mark in plan:
-            values[i] = known[word] if mark is None else np.concatenate([known[word], self.marks[mark]])
-        fresh = np.flatnonzero(self.keys[self._slots(keys)] == 0)
-        self._insert(keys[fresh], [values[i] for i in fresh])
-
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of distinct words of lower-case letters; those that are new are remembered."""
+                odd.append(i)
+        words += [lows[i][: -len(tail)] for i, tail in zip(marked, tails)]
+        at, size = self._words(words)
+        n, known = len(plain), self.keys[self._slots(keys)] != 0
+        fresh = np.flatnonzero(~known[plain])
+        self._point(keys[np.array(plain, np.int64)[fresh]], at[fresh], size[fresh])
+        ends = [self._tail(t) for t in tails]
+        ids = [x for a, k, end in zip(at[n:].tolist(), size[n:].tolist(), ends) for x in (self.pool[a : a + k], end)]
+        others = [self.encoded(parts[i]) for i in odd]
+        rows = np.array(marked + odd, np.int64)
+        if len(rows):
+            sizes = np.concatenate([size[n:] + np.array([len(e) for e in ends], np.int64), np.array([len(o) for o in others], np.int64)])
+            self._insert(keys[rows], np.concatenate(ids + others), sizes)
+
+    def _tail(self, marks: str) -> np.ndarray:
+        if marks not in self.tails:
+            if len(self.tails) == _TAILS:
+                self.tails.clear()
+            self.tails[marks] = self.encoded(marks)
+        return self.tails[marks]
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of words of lower-case letters in the pool; words that are new are remembered."""
         if not words:
-            return []
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         _, _, keys = self._parts(np.frombuffer("\n".join(words).encode() + b"\n", np.uint8))
         slot = self._slots(keys)
         new = np.flatnonzero(self.keys[slot] == 0)
         if len(new):
+            new = new[np.unique(keys[new], return_index=True)[1]]
             fresh = [words[i] for i in new]
             ids = self.encoded(" ".join(fresh))
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            self._insert(keys[new], np.split(ids, cuts[:-1]) if len(cuts) == len(fresh) else [self.encoded(w) for w in fresh])
+            if len(cuts) != len(fresh):
+                each = [self.encoded(w) for w in fresh]
+                ids, cuts = np.concatenate(each), np.cumsum([len(x) for x in each])
+            self._insert(keys[new], ids, np.diff(cuts, prepend=0))
             slot = self._slots(keys)
-        return [self.pool[a : a + n] for a, n in zip(self.at[slot].tolist(), self.size[slot].tolist())]
+        return self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
 
 
 def grouped_by_size(batch: list[str], most: int) -> Iterator[list[str]]:
