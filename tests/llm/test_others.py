@@ -11,6 +11,8 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
 from trajspark.llm import lattice, secrets, topk, toxicity, warc
 from trajspark.llm.common import shared_path
@@ -75,6 +77,28 @@ def test_unwanted_blocks_are_stepped_over():
         list(warc.records(io.BytesIO(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc"), lambda h: False, True))
 
 
+def test_warc_hashes_a_payload_once(spark, tmp_path, monkeypatch):
+    frames = []
+    sink = DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, *a, **k: (frames.append(self._df), sink(self, *a, **k))[1])
+    pages(spark, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    frames.append(warc.op7_warc(spark, str(tmp_path)))
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in frames]
+    # written: once where equal payloads are counted and once where records are made; read: once
+    assert [p.count("sha1(") for p in plans] == [2, 1]
+    bodies = ["", "a", "<p>é</p>", *(f"{i}" for i in range(200))]
+    got = spark.createDataFrame([(b,) for b in [*bodies, None]], "b string").select("b", warc.base32_sha1(F.col("b").cast("binary")).alias("d")).collect()
+    assert {r.b: r.d for r in got} == {None: None} | {b: base64.b32encode(hashlib.sha1(b.encode()).digest()).decode() for b in bodies}
+
+
+def test_warc_digests_are_of_the_bytes_written(spark):
+    path = shared_path(spark, "warc-test")
+    warc.write_warc(spark.range(1, 3).selectExpr("id AS page_id", "'u' AS url", "cast(CASE id WHEN 1 THEN X'FF' ELSE X'FE' END AS string) AS html"), path)
+    got = warc.read_warc(spark, path).orderBy("record_id").collect()
+    assert [(r.record_type, bytes(r.payload)) for r in got] == [("response", b"\xff"), ("response", b"\xfe")]
+    assert [r.payload_digest for r in got] == ["sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode() for b in (b"\xff", b"\xfe")]
+
+
 # Top-k
 
 

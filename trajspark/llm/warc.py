@@ -183,15 +183,22 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
-def base32_sha1(binary):
-    """Bare upper-case base32 of the SHA-1 of a binary column, in built-in functions."""
-    digits = F.sha1(binary)
+def _once(value, use):
+    """use(value), with value evaluated once a row: in a branch or a filter Spark evaluates it at each mention."""
+    return F.transform(F.array(value), use)[0]
+
+
+def base32(digits):
+    """Base32 of a column of 40 hex digits, in built-in functions."""
     alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    parts = []
-    for g in range(8):  # 5 hex digits are 20 bits are 4 letters
-        v = F.conv(F.substring(digits, 5 * g + 1, 5), 16, 10).cast("int")
-        parts += [F.substring(alphabet, F.shiftright(v, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*parts)
+    letters = lambda v: F.concat(*[F.substring(alphabet, F.shiftright(v, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)])
+    # 5 hex digits are 20 bits are 4 letters
+    return F.concat(*[_once(F.conv(F.substring(digits, 5 * g + 1, 5), 16, 10).cast("int"), letters) for g in range(8)])
+
+
+def base32_sha1(binary):
+    """Bare upper-case base32 of the SHA-1 of a binary column, which is hashed once."""
+    return _once(F.sha1(binary), base32)
 
 
 #: Ways in which one payload's rows are dealt, so that a common payload doesn't fill one task.
@@ -207,7 +214,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01
     breaks in a url are percent-encoded.
     """
     rows = columns_of(pages, ["page_id", "url", "html"]).select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", base32_sha1(F.encode("html", "UTF-8")))
+    rows = rows.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     shared = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
     shared = shared.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(shared, ["digest", "salt"], "left")
@@ -220,7 +227,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01
         F.lit(f"WARC/1.1{crlf}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit(f"{crlf}WARC-Record-ID: "), ident("page_id"),
         F.lit(f"{crlf}WARC-Date: {date}{crlf}WARC-Target-URI: "), F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")),
-        F.lit(f"{crlf}WARC-Payload-Digest: sha1:"), F.col("digest"),
+        F.lit(f"{crlf}WARC-Payload-Digest: sha1:"), base32(F.col("digest")),
         F.when(revisit, F.concat(F.lit(f"{crlf}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{crlf}WARC-Refers-To: "), ident("first"))).otherwise(""),
         F.lit(f"{crlf}Content-Type: application/http; msgtype=response{crlf}Content-Length: "), F.octet_length("block"), F.lit(crlf + crlf),
     )
